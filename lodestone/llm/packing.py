@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +121,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tokenizer, sequence = cached(path), (TaskContext.get().partitionId() << 33)
+        tokenizer, sequence, end = cached(path), TaskContext.get().partitionId() << 33, end_id.to_bytes(4, "little")
         held: list[tuple] = []
         held_ids = 0
         rows: list[tuple] = []
@@ -176,15 +175,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
                 ids_of = tokenizer.encode_all(texts)
                 for doc_id, ids in zip(part["doc_id"], ids_of, strict=True):
                     doc_id = None if pd.isna(doc_id) else int(doc_id)
-                    data = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    total, at = len(data), 0
+                    data = ids + end
+                    total, at = len(data) // 4, 0
                     while total - at >= capacity:
-                        rows.append((doc_id, at, capacity, total, sequence, 0, data[at : at + capacity].tobytes()))
+                        rows.append((doc_id, at, capacity, total, sequence, 0, data[4 * at : 4 * (at + capacity)]))
                         sequence += 1
                         at += capacity
                     while at < total:
                         n = min(piece, total - at)
-                        held.append((doc_id, at, n, total, data[at : at + n].tobytes()))
+                        held.append((doc_id, at, n, total, data[4 * at : 4 * (at + n)]))
                         held_ids += n
                         at += n
                     if held_ids >= group_ids:

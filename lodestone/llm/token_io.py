@@ -95,7 +95,7 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tokenizer, part = cached(path), TaskContext.get().partitionId()
+        tokenizer, part, end = cached(path), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         block, first, doc_ids, chunks, n_held = 0, 0, [], [], 0
 
         def close() -> pd.DataFrame:
@@ -114,8 +114,8 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
                 piece = batch.iloc[lo : lo + 64]
                 for doc_id, ids in zip(piece["doc_id"], tokenizer.encode_all(["" if t is None else t for t in piece["text"]]), strict=True):
                     doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    chunks.append(np.append(ids, np.uint32(end_id)))
-                    n_held += len(ids) + 1
+                    chunks.append(np.frombuffer(ids + end, "<u4"))
+                    n_held += len(chunks[-1])
                     if n_held >= BLOCK_IDS:
                         yield close()
         if chunks:

@@ -5,9 +5,7 @@ is known to agree with the library goes to the library whole."""
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -18,7 +16,8 @@ _KNOWN = "[^\t\n\r\x20-\x7e¡-¬®-įĲ-žƀ-ǃ]"
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's cache, of about 150 bytes each.
+CACHE_ENTRIES = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,7 +39,7 @@ class CachedTokenizer:
         self.folds = self.library.normalizer is not None
         self.unknown = regex.compile(_KNOWN)
         self.split = regex.compile(_WORD_PATTERN if self.folds else _BYTE_PATTERN).findall
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
@@ -54,32 +53,23 @@ class CachedTokenizer:
     def encode_pre(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(items, add_special_tokens=False)]
 
-    def learn(self, missing: Iterable[str]) -> None:
-        items = list(missing)
-        if len(self.cache) + len(items) > CACHE_ENTRIES:
-            self.cache.clear()
+    def learn(self, items: list[str]) -> None:
         for item, ids in zip(items, self.encode_pre(items), strict=True):
-            self.cache[item] = ids
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids (uint32) of each text."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if self.plain(text):
-                split.append((i, self.pre_tokens(text)))
-            else:
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        for i, parts in split:
-            missing = {p for p in set(parts) if p not in self.cache}
-            if missing:
-                self.learn(missing | set(parts) if len(self.cache) + len(missing) > CACHE_ENTRIES else missing)
-            cache = self.cache
-            flat: list[int] = []
-            for p in parts:
-                flat += cache[p]
-            out[i] = np.array(flat, np.uint32)
-        return out  # type: ignore[return-value]
+            self.cache[item] = array("I", ids).tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        parts = [self.pre_tokens(t) if self.plain(t) else None for t in texts]
+        cache = self.cache
+        distinct = set().union(*(p for p in parts if p is not None))
+        missing = [p for p in distinct if p not in cache]
+        if len(cache) + len(missing) > CACHE_ENTRIES:
+            cache.clear()
+            missing = list(distinct)
+        if missing:
+            self.learn(missing)
+        known = cache.__getitem__
+        return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if p is None else b"".join(map(known, p)) for t, p in zip(texts, parts, strict=True)]
 
 
 _held: dict[str, CachedTokenizer] = {}
