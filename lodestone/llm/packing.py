@@ -171,11 +171,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                texts = ["" if t is None else t for t in part["text"]]
-                ids_of = tokenizer.encode_all(texts)
-                for doc_id, ids in zip(part["doc_id"], ids_of, strict=True):
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                     doc_id = None if pd.isna(doc_id) else int(doc_id)
-                    data = ids + end
+                    data = tokenizer.encode(text or "") + end
                     total, at = len(data) // 4, 0
                     while total - at >= capacity:
                         rows.append((doc_id, at, capacity, total, sequence, 0, data[4 * at : 4 * (at + capacity)]))

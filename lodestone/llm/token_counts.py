@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import cached, tokenizer_path
+from .tokens import Tier, cached, tokenizer_path
 
 #: Bounds: entries of the broadcast table, and of one task's summary.
 TABLE_ENTRIES, SUMMARY_ENTRIES = 65_536, 16_384
@@ -60,8 +60,8 @@ def frequent_pre_tokens(docs: DataFrame, path: str) -> dict[str, int]:
     for row in merged.toLocalIterator():  # at most 8 rows of bounded size
         total.update(pickle.loads(row["summary"]))
         total = _pruned(total, TABLE_ENTRIES)
-    tokenizer, items = cached(path), list(total)
-    return {item: len(ids) for item, ids in zip(items, tokenizer.encode_pre(items), strict=True)} if items else {}
+    tokenizer = cached(path)
+    return {item: len(tokenizer.encode_piece(item)) for item in total}
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -70,32 +70,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     table = docs.sparkSession.sparkContext.broadcast(frequent_pre_tokens(docs, path))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, frequent = cached(path), table.value
-        rare = tokenizer.lengths
+        tokenizer = cached(path)
+        tiers = Tier(table.value, tokenizer.lengths)
         for batch in batches:
-            totals = []
-            for text in batch["text"]:
-                if not text:
-                    totals.append(0)
-                elif not tokenizer.plain(text):
-                    totals.append(len(tokenizer.library.encode(text, add_special_tokens=False).ids))
-                else:
-                    n, missed = 0, []
-                    for p in tokenizer.pre_tokens(text):
-                        k = frequent.get(p)
-                        if k is None:
-                            k = rare.get(p)
-                            if k is None:
-                                missed.append(p)
-                                continue
-                        n += k
-                    if missed:
-                        if len(rare) > 300_000:
-                            rare.clear()
-                        items = list(set(missed))
-                        rare.update(zip(items, map(len, tokenizer.encode_pre(items)), strict=True))
-                        n += sum(rare[p] for p in missed)
-                    totals.append(n)
+            totals = [tokenizer.count(text, tiers) if text else 0 for text in batch["text"]]
             yield pd.DataFrame({"doc_id": pd.array(batch["doc_id"], dtype="Int64"), "n_bytes": batch["n_bytes"].to_numpy(), "n_tokens": totals})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")

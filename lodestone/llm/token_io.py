@@ -43,13 +43,12 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values[at] = 0
     n = len(values)
     # For every position the selector that takes most ids from there; the chain of jumps then gives the words.
-    width = np.zeros(n, np.int8)
-    for bits in range(1, ESCAPE_BITS + 1):
-        width[values >= np.uint64(1 << (bits - 1))] = bits
+    width = np.frexp(values.astype(np.float32))[1].astype(np.int8)  # bits; exact below 2^24
+    narrow = np.cumsum(np.bincount(width, minlength=ESCAPE_BITS + 1))
     best = np.full(n, 15, np.int8)
     for s in range(14, -1, -1):
         k, w = COUNTS[s], WIDTHS[s]
-        if k > n:
+        if k > narrow[min(w, ESCAPE_BITS)]:
             continue
         over = np.concatenate([[0], np.cumsum(width > w, dtype=np.int32)])
         fits = np.flatnonzero(over[k:] == over[:-k])
@@ -110,14 +109,12 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                piece = batch.iloc[lo : lo + 64]
-                for doc_id, ids in zip(piece["doc_id"], tokenizer.encode_all(["" if t is None else t for t in piece["text"]]), strict=True):
-                    doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                    chunks.append(np.frombuffer(ids + end, "<u4"))
-                    n_held += len(chunks[-1])
-                    if n_held >= BLOCK_IDS:
-                        yield close()
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                chunks.append(np.frombuffer(tokenizer.encode(text or "") + end, "<u4"))
+                n_held += len(chunks[-1])
+                if n_held >= BLOCK_IDS:
+                    yield close()
         if chunks:
             yield close()
 

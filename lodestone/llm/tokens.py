@@ -1,23 +1,25 @@
 """Tokenizer access with caches on the workers: pre-tokens are split off with a regular expression, and the ids of each
-distinct pre-token come from the tokenizers library once per worker.  A text outside the characters for which the split
-is known to agree with the library goes to the library whole."""
+distinct pre-token come from the model of the tokenizers library once per worker.  A text outside the characters for
+which the split is known to agree with the library, or with a special string in it, goes to the library whole."""
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters for which splitting and lower-casing agree between Python and the library: printable ASCII, tab, line
-#: feed, carriage return, and Latin letters and signs that are already composed.
-_KNOWN = "[^\t\n\r\x20-\x7e¡-¬®-įĲ-žƀ-ǃ]"
-#: How each kind of tokenizer file splits text into pre-tokens.
-_BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: feed, carriage return, and Latin letters, signs and digits that are already composed.
+_LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-įĲ-žƀ-ǃ", "0-9²³¹¼-¾"
+_UNKNOWN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įĲ-žƀ-ǃ]").search
+#: How each kind of tokenizer file splits text into pre-tokens, for these characters.
+_BYTE_PATTERN = rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
+_WORD_PATTERN = rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+"
 
-#: Entries of a worker's cache, of about 150 bytes each.
-CACHE_ENTRIES = 1_000_000
+#: Entries of a worker's cache, of about 200 bytes each.
+CACHE_ENTRIES = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,50 +28,76 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 as it is, the others from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Cache(dict):
+    """Fills itself from a function, and is emptied when full."""
+
+    def __init__(self, find, entries: int = CACHE_ENTRIES) -> None:
+        super().__init__()
+        self.find, self.entries = find, entries
+
+    def __missing__(self, key):
+        if len(self) >= self.entries:
+            self.clear()
+        value = self[key] = self.find(key)
+        return value
+
+
 class CachedTokenizer:
     """Ids as the library gives them for a whole text, with a bounded cache by pre-token."""
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.folds = self.library.normalizer is not None
-        self.unknown = regex.compile(_KNOWN)
-        self.split = regex.compile(_WORD_PATTERN if self.folds else _BYTE_PATTERN).findall
-        self.cache: dict[str, bytes] = {}
-        self.lengths: dict[str, int] = {}
+        self.split = re.compile(_WORD_PATTERN if self.folds else _BYTE_PATTERN).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters, self.model = byte_letters(), self.library.model
+        self.ids = Cache(lambda piece: array("I", self.encode_piece(piece)).tobytes())
+        self.lengths = Cache(lambda piece: len(self.encode_piece(piece)))
 
     def plain(self, text: str) -> bool:
         """Whether the cached way is exact for this text."""
-        return self.unknown.search(text) is None and not any(s in text for s in self.special)
+        return _UNKNOWN(text) is None and not any(s in text for s in self.special)
 
     def pre_tokens(self, text: str) -> list[str]:
         return self.split(text.lower() if self.folds else text)
 
-    def encode_pre(self, items: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(items, add_special_tokens=False)]
-
-    def learn(self, items: list[str]) -> None:
-        for item, ids in zip(items, self.encode_pre(items), strict=True):
-            self.cache[item] = array("I", ids).tobytes()
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        parts = [self.pre_tokens(t) if self.plain(t) else None for t in texts]
-        cache = self.cache
-        distinct = set().union(*(p for p in parts if p is not None))
-        missing = [p for p in distinct if p not in cache]
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache.clear()
-            missing = list(distinct)
-        if missing:
-            self.learn(missing)
-        known = cache.__getitem__
-        return [array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes() if p is None else b"".join(map(known, p)) for t, p in zip(texts, parts, strict=True)]
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token."""
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        if self.plain(text):
+            return b"".join(map(self.ids.__getitem__, self.pre_tokens(text)))
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def count(self, text: str, lengths: dict | None = None) -> int:
+        """The number of ids of a text; lengths: a table to look pre-tokens up in, which falls back on this cache."""
+        if self.plain(text):
+            return sum(map((self.lengths if lengths is None else lengths).__getitem__, self.pre_tokens(text)))
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+
+class Tier(dict):
+    """A table of frequent pre-tokens; what it lacks is asked of the worker's cache."""
+
+    def __init__(self, frequent: dict[str, int], rest: dict[str, int]) -> None:
+        super().__init__(frequent)
+        self.rest = rest
+
+    def __missing__(self, key: str) -> int:
+        return self.rest[key]
 
 
 _held: dict[str, CachedTokenizer] = {}
