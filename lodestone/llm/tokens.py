@@ -60,7 +60,9 @@ class CachedTokenizer:
         self.library.no_padding()
         self.folds = self.library.normalizer is not None
         self.split = re.compile(_WORD_PATTERN if self.folds else _BYTE_PATTERN).findall
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        start = os.path.commonprefix(special)
+        self.special = [start] if start else special  # a text with any of these goes to the library
         self.letters, self.model = byte_letters(), self.library.model
         self.ids = Cache(lambda piece: array("I", self.encode_piece(piece)).tobytes())
         self.lengths = Cache(lambda piece: len(self.encode_piece(piece)))
