@@ -229,7 +229,7 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     streams = rows.mapInPandas(outside, "key long, host string, has_main boolean, texts string, chrome string").dropDuplicates(["key"])
     streams = materialize(streams, "page-streams")
     hosts = streams.groupBy("host").agg(F.count("*").alias("pages"))
-    sharded = streams.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.ceil(F.col("pages") / F.lit(SHARD))).cast("int"))
+    sharded = streams.join(small_or_shuffled(hosts), "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.ceil(F.col("pages") / F.lit(SHARD))).cast("int"))
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key")
