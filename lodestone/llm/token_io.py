@@ -27,7 +27,7 @@ from .tokens import cached, tokenizer_path
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Pre-tokens a worker keeps: this file's pieces are fewer than with spaces, and idle workers keep theirs for a while.
-KEPT = 150_000
+KEPT = 300_000
 #: Ids in a word and bits of each, by selector. Selectors 0 and 1 are runs of zeros.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -52,7 +52,8 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     best[-2:] = (14, 15)[2 - min(n, 2) :]
     for s in range(12, -1, -1):
         k, w = COUNTS[s], WIDTHS[s]
-        if k > narrow[min(w, ESCAPE_BITS)]:
+        # Long runs of narrow ids are looked for only where such ids are common.
+        if k > narrow[min(w, ESCAPE_BITS)] or (k >= 12 and 8 * narrow[w] < n):
             continue
         over = np.concatenate([[0], np.cumsum(width > w, dtype=np.int32)])
         fits = np.flatnonzero(over[k:] == over[:-k])
