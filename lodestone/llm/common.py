@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 
@@ -39,6 +38,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows in a batch that Python workers get: texts may be long, and workers keep what a batch took.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the rows of a batch for Python workers, unless the session has set them itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -78,24 +88,14 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-cases A to Z only."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_BLANK = str.maketrans({9: " ", 10: " ", 11: " ", 12: " ", 13: " "})
-
-
-def words_of(text: str) -> list[str]:
-    """The runs of characters other than space and U+0009 to U+000D."""
-    if text.isascii() and not _ODD.search(text):
-        return text.split()
-    return [w for w in text.translate(_BLANK).split(" ") if w]
+def words_of(text: str) -> list[bytes]:
+    """The runs of characters other than space and U+0009 to U+000D, as UTF-8. bytes.split() cuts at just these."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
-#: str.split() also cuts at these, which count as parts of words here.
-_ODD = re.compile("[\x1c-\x1f]")
+def lower_words(text: str) -> list[bytes]:
+    """The same with A to Z in lower case; bytes.lower() changes no other characters."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def crc_remainder(column, modulus: int):

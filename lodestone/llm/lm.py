@@ -5,7 +5,7 @@ summed over the whole corpus and written.  Only a bounded number of the most fre
 
 Model.  The probability of a token is factored by classes: P(class | history) * P(token | class).  The first factor is a
 softmax over the classes whose features are hashed: the unit before (n-gram), the two units before together (n-gram),
-and the units two, three and four places before (skips); a unit is a frequent word, or the hashed ending of another.  The
+and the units two, three and four places before (skip); a unit is a frequent word, or the hashed ending of another.  The
 second factor is the maximum-entropy solution with one feature a word: counts within the class plus one, over the class's
 tokens plus types plus one, which leaves mass for unknown words as the base does.  Classes group units by the company
 they keep: k-means over each unit's counts of hashed neighbours.
@@ -22,6 +22,8 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,14 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, lower_ascii, materialize, words_of
+from .common import crc_remainder, lower_words, materialize, small_batches
 
-END = "\n"
+END = b"\n"
 #: Words whose counts are broadcast; words with a unit of their own; hashed endings; classes; places of neighbours.
-FREQUENT, OWN_UNITS, ENDINGS, CLASSES, PLACES = 131_072, 1024, 512, 24, 64
+FREQUENT, OWN_UNITS, ENDINGS, CLASSES, PLACES = 131_072, 1024, 512, 16, 64
 UNITS = OWN_UNITS + ENDINGS + 2
 BEGIN_UNIT, END_UNIT = UNITS - 2, UNITS - 1
-SKIPS, PAIR_ROWS = 4, 8192
+SKIPS, PAIR_ROWS = 3, 8192
 #: Rows of the weights: the bias, one a unit and distance, and the hashed pairs.
 ROWS = 1 + SKIPS * UNITS + PAIR_ROWS
 RATE, DECAY, BATCH = 0.4, 1e-5, 8192
@@ -45,8 +47,8 @@ FLUSH = 400_000
 MODULUS, HELD = 7, 2
 
 
-def tokens_of(text: str | None) -> list[str]:
-    return [*words_of(lower_ascii(text)), END] if text else [END]
+def tokens_of(text: str | None) -> list[bytes]:
+    return [*lower_words(text), END] if text else [END]
 
 
 def with_held(docs: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """(word, c) over the training rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
+        counts: dict[bytes, int] = Counter()
         for batch in batches:
             for text in batch["text"]:
                 counts.update(tokens_of(text))
@@ -67,25 +69,42 @@ def token_counts(rows: DataFrame) -> DataFrame:
         if counts:
             yield pd.DataFrame({"word": list(counts), "c": list(counts.values())})
 
-    return rows.where("not held_out").select("text").mapInPandas(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.where("not held_out").select("text").mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _ending(word: str) -> int:
-    import zlib
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes, int]]:
+    """At most about `most` words with the highest counts, and the end token; found from a histogram of the counts'
+    logarithms, so that no more rows than these come to the driver."""
+    step = F.floor(F.log2("c") * 64)
+    histogram = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = None, 0
+    for s, n in histogram:
+        if total + n > most and total:
+            break
+        least, total = s, total + n
+    if least is None:
+        return []
+    rows = counts.where((step >= least) | (F.col("word") == F.lit(bytearray(END)))).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
-    return OWN_UNITS + zlib.crc32(word.rstrip(".,;:!?")[-2:].encode("utf-8", "surrogatepass")) % ENDINGS
 
+def _ending(word: bytes) -> int:
+    return OWN_UNITS + zlib.crc32(word.rstrip(b".,;:!?").decode("utf-8", "replace")[-2:].encode()) % ENDINGS
 
-class Words:
-    """Units of words, with a bounded cache for those that are not frequent."""
-
-    def __init__(self, frequent: dict[str, tuple[int, int]]) -> None:
-        self.frequent, self.rare = frequent, {}
 
-    def unit(self, word: str) -> int:
-        known = self.frequent.get(word)
-        if known is not None:
-            return known[0]
+class Words:
+    """Places of tokens in the table of frequent words (-1: not there) and units of all tokens."""
+
+    def __init__(self, ranked: list[tuple[bytes, int]]) -> None:
+        self.place, own = {word: i for i, (word, _) in enumerate(ranked)}, 0
+        units = []
+        for word, _ in ranked:
+            units.append(END_UNIT if word == END else own if own < OWN_UNITS else _ending(word))
+            own += word != END
+        self.unit_at = np.array([*units, 0], np.int32)
+        self.rare: dict[bytes, int] = {}
+
+    def _rare(self, word: bytes) -> int:
         unit = self.rare.get(word)
         if unit is None:
             if len(self.rare) > 300_000:
@@ -93,38 +112,54 @@ class Words:
             unit = self.rare[word] = _ending(word)
         return unit
 
-    def units(self, tokens: list[str]) -> np.ndarray:
-        frequent, unit = self.frequent, self.unit
-        return np.array([frequent[w][0] if w in frequent else unit(w) for w in tokens], np.int32)
-
-
-def unit_of_frequent(ranked: list[tuple[str, int]]) -> dict[str, tuple[int, int]]:
-    """word -> (unit, count) for the frequent words, most frequent first."""
-    out, own = {}, 0
-    for word, c in ranked:
-        if word == END:
-            out[word] = (END_UNIT, c)
-        elif own < OWN_UNITS:
-            out[word] = (own, c)
-            own += 1
-        else:
-            out[word] = (_ending(word), c)
-    return out
+    def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(places, units, the tokens that are not frequent)."""
+        get = self.place.get
+        places = np.array([get(w, -1) for w in tokens], np.int32)
+        units = self.unit_at[places]
+        missed = np.flatnonzero(places < 0)
+        rare = [tokens[i] for i in missed.tolist()]
+        units[missed] = [self._rare(w) for w in rare]
+        return places, units, rare
+
+    def units(self, tokens: list[bytes]) -> np.ndarray:
+        return self.look_up(tokens)[1]
+
+
+_held: dict[int, Words] = {}
+
+
+def words_for(ranked) -> Words:
+    """One table a worker process and broadcast."""
+    if ranked.id not in _held:
+        _held.clear()
+        _held[ranked.id] = Words(ranked.value)
+    return _held[ranked.id]
+
+
+class Ranked:
+    """A broadcast list of frequent words, with a name of its own."""
+
+    def __init__(self, spark, ranked: list[tuple[bytes, int]]) -> None:
+        self.held, self.id = spark.sparkContext.broadcast(ranked), uuid.uuid4().hex
+
+    @property
+    def value(self) -> list[tuple[bytes, int]]:
+        return self.held.value
 
 
-def company(rows: DataFrame, frequent) -> np.ndarray:
-    """Units x PLACES: how often each unit stands within two places of units hashed to a place."""
+def company(rows: DataFrame, frequent: Ranked) -> np.ndarray:
+    """Units x PLACES: how often each unit stands beside units hashed to a place."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = Words(frequent.value), np.zeros(UNITS * PLACES)
+        words, total = words_for(frequent), np.zeros(UNITS * PLACES, np.int64)
         for batch in batches:
-            u = _joined([words.units(tokens_of(t)) for t in batch["text"]])
-            hashed = (u.astype(np.int64) * 2654435761 >> 7) % PLACES
-            for d in (1, 2):
-                for a, b in ((u[d:], hashed[:-d]), (u[:-d], hashed[d:])):
-                    total += np.bincount(a.astype(np.int64) * PLACES + b, minlength=UNITS * PLACES)
+            u = _joined([words.units(tokens_of(t)) for t in batch["text"]]).astype(np.int64)
+            hashed = (u * 2654435761 >> 7) % PLACES
+            total += np.bincount(u[1:] * PLACES + hashed[:-1], minlength=UNITS * PLACES)
+            total += np.bincount(u[:-1] * PLACES + hashed[1:], minlength=UNITS * PLACES)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"i": at.astype(np.int32), "n": total[at]})
+        yield pd.DataFrame({"i": at.astype(np.int32), "n": total[at].astype(float)})
 
     summed = rows.where("not held_out").select("text").mapInPandas(count, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(UNITS * PLACES)
@@ -195,27 +230,28 @@ class Trainer:
         g = np.exp(log_classes(self.w, rows))
         g[np.arange(len(g)), target] -= 1
         g /= len(g)
-        flat = np.zeros(ROWS * CLASSES)
-        span = np.arange(CLASSES)
+        used, sums = [np.zeros(1, np.int64)], [g.sum(axis=0, keepdims=True)]
         for f in range(rows.shape[1]):
-            flat += np.bincount((rows[:, f, None] * CLASSES + span).ravel(), g.ravel(), ROWS * CLASSES)
-        grad = flat.reshape(ROWS, CLASSES).astype(np.float32)
-        grad[0] = g.sum(axis=0)
+            order = np.argsort(rows[:, f].astype(np.uint16), kind="stable")
+            at = rows[order, f]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            used.append(at[first])
+            sums.append(np.add.reduceat(g[order], first, axis=0))
+        used, d = np.concatenate(used), np.concatenate(sums)  # families of features have rows of their own
         self.touched += np.bincount(rows.ravel(), minlength=ROWS)
         self.touched[0] += len(rows)
-        used = np.flatnonzero(np.abs(grad).max(axis=1))
-        d = grad[used] + DECAY * self.w[used]
+        d += DECAY * self.w[used]
         self.g2[used] += d * d * 1e2
         self.w[used] -= RATE * 10 * d / np.sqrt(self.g2[used])
         self.tokens += len(rows)
 
 
-def train(rows: DataFrame, frequent, classes, start: np.ndarray) -> np.ndarray:
+def train(rows: DataFrame, frequent: Ranked, classes, start: np.ndarray) -> np.ndarray:
     """Weights after one pass of all training rows."""
     held_start = rows.sparkSession.sparkContext.broadcast(start)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, trainer, of_unit = Words(frequent.value), Trainer(held_start.value), classes.value
+        words, trainer, of_unit = words_for(frequent), Trainer(held_start.value), classes.value
         size, kept, n_kept = 512, [], 0
         for batch in batches:
             for lo in range(0, len(batch), 32):
@@ -270,20 +306,18 @@ def score(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = with_held(docs)
+    small_batches(spark)
     counts = materialize(token_counts(rows), "lm-counts")
     n_all, n_types = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    ranked = [(r["word"], r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()]
-    if n_all and END not in dict(ranked):
-        ranked.append((END, counts.where(F.col("word") == END).first()["c"]))
-    frequent = spark.sparkContext.broadcast(unit_of_frequent(ranked))
+    frequent = Ranked(spark, frequent_words(counts))
     of_unit = classes_of(company(rows, frequent))
     classes = spark.sparkContext.broadcast(of_unit)
     weights = spark.sparkContext.broadcast(train(rows, frequent, classes, np.zeros((ROWS, CLASSES), np.float32)))
 
     def class_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, n, v = Words(frequent.value), np.zeros(CLASSES), np.zeros(CLASSES)
+        words, n, v = words_for(frequent), np.zeros(CLASSES), np.zeros(CLASSES)
         for batch in batches:
-            k = classes.value[[words.unit(w) for w in batch["word"]]]
+            k = classes.value[words.units([bytes(w) for w in batch["word"]])]
             n += np.bincount(k, batch["c"], CLASSES)
             v += np.bincount(k, minlength=CLASSES)
         yield pd.DataFrame({"k": np.arange(CLASSES), "n": n, "v": v})
@@ -294,36 +328,35 @@ def score(docs: DataFrame) -> DataFrame:
         log_room[r["k"]] = np.log10(r["n"] + r["v"] + 1)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, w, of = Words(frequent.value), weights.value, classes.value
-        log_c = np.log10([1.0] + [c + 1.0 for _, c in frequent.value.values()])
-        place = {word: i for i, word in enumerate(frequent.value, 1)}
+        words, w, of = words_for(frequent), weights.value, classes.value
+        log_c = np.log10([*(c + 1.0 for _, c in frequent.value), 1.0])
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                tokens = [tokens_of(t) for t in part["text"]]
-                u = _joined([words.units(t) for t in tokens])
+                found = [words.look_up(tokens_of(t)) for t in part["text"]]
+                u = _joined([units for _, units, _ in found])
                 at = np.flatnonzero(u != BEGIN_UNIT)
                 k = of[u[at]]
                 log_p = np.empty(len(at))
                 for a in range(0, len(at), BATCH):
-                    log_p[a : a + BATCH] = log_classes(w, features(u, at[a : a + BATCH]))[np.arange(len(at[a : a + BATCH])), k[a : a + BATCH]]
+                    here = at[a : a + BATCH]
+                    log_p[a : a + BATCH] = log_classes(w, features(u, here))[np.arange(len(here)), k[a : a + BATCH]]
                 log_p = log_p / np.log(10) - log_room[k]
-                where = np.array([place.get(x, 0) for t in tokens for x in t])
-                lengths = np.array([len(t) for t in tokens])
+                places = np.concatenate([p for p, _, _ in found])
+                lengths = np.array([len(p) for p, _, _ in found])
                 starts = np.cumsum(lengths) - lengths
-                rare = [Counter(x for x in t if x not in place) for t in tokens]
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array(part["doc_id"], dtype="Int64"), "held_out": part["held_out"].to_numpy(), "n_tokens": lengths, "n_frequent": np.add.reduceat((where > 0).astype(np.int64), starts),
-                        "log_counts": np.add.reduceat(log_c[where], starts), "log_model": np.add.reduceat(log_p, starts), "rare": [list(r) for r in rare], "times": [list(r.values()) for r in rare],
+                        "doc_id": pd.array(part["doc_id"], dtype="Int64"), "held_out": part["held_out"].to_numpy(), "n_tokens": lengths, "n_frequent": np.add.reduceat((places >= 0).astype(np.int64), starts),
+                        "log_counts": np.add.reduceat(log_c[places], starts), "log_model": np.add.reduceat(log_p, starts), "rare": [r for _, _, r in found],
                     }
                 )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_frequent long, log_counts double, log_model double, rare array<string>, times array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_frequent long, log_counts double, log_model double, rare array<binary>"
     scored = materialize(rows.mapInPandas(apply, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("k"))
-    found = pairs.join(counts, "word").groupBy("row").agg(F.sum("k").alias("rare_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("rare_log"))
-    out = scored.drop("rare", "times").join(found, "row", "left")
+    pairs = scored.select("row", F.explode("rare").alias("word"))
+    found = pairs.join(counts, "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"))
+    out = scored.drop("rare").join(found, "row", "left")
     log_counts = F.col("log_counts") + F.coalesce("rare_log", F.lit(0.0))
     base = log_counts - F.col("n_tokens") * F.lit(float(np.log10(n_all + n_types + 1)))
     return out.select(

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, small_or_shuffled, splitmix, words_of
+from .common import lower_words, materialize, small_batches, small_or_shuffled, splitmix
 from .graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 20, 4
@@ -51,7 +51,7 @@ class Shingler:
         self.n, self.hash, self.seen = n, xxhash.xxh3_64_intdigest, {}
 
     def shingles(self, text: str | None) -> np.ndarray:
-        words = words_of(lower_ascii(text)) if text else []
+        words = lower_words(text) if text else []
         if not words:
             return np.zeros(0, np.uint64)
         seen = self.seen
@@ -59,7 +59,7 @@ class Shingler:
             seen.clear()
         for w in set(words):
             if w not in seen:
-                seen[w] = self.hash(w.encode("utf-8", "surrogatepass"))
+                seen[w] = self.hash(w)
         h = np.array([seen[w] for w in words], np.uint64)
         n = min(self.n, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
@@ -315,6 +315,7 @@ def _star_links(rows: DataFrame, percent: int) -> DataFrame:
 
 def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(sketches with their class's node, (node, component) of the linked nodes)."""
+    small_batches(docs.sparkSession)
     rows = materialize(sketches(docs), "minhash-rows")
     own = F.first(F.struct("bands", "marks", F.col("n_shingles").alias("n"))).alias("own")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), own)

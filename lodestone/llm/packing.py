@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import cached, tokenizer_path
 
 CAPACITY, END_ID = 2048, 1
@@ -115,6 +116,7 @@ def powers_of_two(n: int, capacity: int = CAPACITY) -> list[int]:
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, piece: int = PIECE) -> DataFrame:
     """One row a piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian uint32)."""
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path("byte_bpe_50k.json")
     group_ids = GROUP_IDS // CAPACITY * capacity
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, lower_ascii, splitmix, words_of
+from .common import crc_remainder, small_batches, splitmix, words_of
 
 BITS, MAX_TRAIN_ROWS, EPOCHS, THRESHOLD = 18, 12_000, 3, 0.3
 #: Follow-the-regularised-leader: learning rate and its offset, and the two penalties.
@@ -60,7 +60,8 @@ class Vectoriser:
             seen.clear()
         for w in set(words):
             if w not in seen:
-                seen[w] = (self.hash(lower_ascii(w).encode("utf-8", "surrogatepass")), self.hash(_form(w)[:40].encode("utf-8", "surrogatepass"), 7))
+                form = _form(w.decode("utf-8", "surrogatepass"))[:40]
+                seen[w] = (self.hash(w.lower()), self.hash(form.encode("utf-8", "surrogatepass"), 7))
         pairs = np.array([seen[w] for w in words], np.uint64)
         word, form = pairs[:, 0], pairs[:, 1]
         form = form ^ np.append(np.uint64(0), (word[1:] == word[:-1]) * np.uint64(0x5555))
@@ -99,6 +100,7 @@ class Ftrl:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, bits: int = BITS) -> np.ndarray:
     """Weights learned from labels (doc_id, quality) whose crc32 remainder is not 0."""
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & (crc_remainder(F.col("doc_id"), HOLD_OUT) != 0))
     sample = usable.select("doc_id", F.col("quality").cast("int").alias("y"), F.xxhash64(F.col("doc_id").cast("string")).alias("turn")).orderBy("turn", "doc_id", "y").limit(max_rows)
 

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import Tier, cached, tokenizer_path
 
 #: Bounds: entries of the broadcast table, and of one task's summary.
@@ -66,6 +67,7 @@ def frequent_pre_tokens(docs: DataFrame, path: str) -> dict[str, int]:
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit."""
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path("byte_bpe_50k.json")
     table = docs.sparkSession.sparkContext.broadcast(frequent_pre_tokens(docs, path))
 

@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import small_batches, work_path
 from .tokens import cached, tokenizer_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Pre-tokens a worker keeps: this file's pieces are fewer than with spaces, and idle workers keep theirs for a while.
-KEPT = 300_000
+KEPT = 400_000
 #: Ids in a word and bits of each, by selector. Selectors 0 and 1 are runs of zeros.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -93,6 +93,7 @@ def decode_words(words: np.ndarray, n: int, at: np.ndarray, escaped: np.ndarray)
 def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, parts: int | None = None) -> None:
     """Writes the ids of all documents, in ascending order of doc_id, to the folder `out`."""
     path = path or tokenizer_path("word_bpe_49k.json")
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
