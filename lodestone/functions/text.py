@@ -17,10 +17,11 @@ def fold(c: Column) -> Column:
 
 def trigrams(content: Column) -> Column:
     """Distinct folded byte trigrams as six hex digits."""
-    data = F.encode(fold(content), "UTF-8")  # slices of BINARY take no walk over the characters before them
-    n = F.octet_length(content)
-    grams = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.hex(F.substr(data, i, F.lit(3))))
-    return F.array_distinct(F.when(n >= 3, grams).otherwise(F.array().cast("array<string>")))
+    # Bound as a lambda's variable the folded bytes are made once, not once a trigram; slices of BINARY need no walk over
+    # the characters before them.
+    cut = lambda data: F.transform(F.sequence(F.lit(1), F.octet_length(data) - 2), lambda i: F.hex(F.substr(data, i, F.lit(3))))
+    long_enough = F.filter(F.array(F.encode(fold(content), "UTF-8")), lambda data: F.octet_length(data) >= 3)
+    return F.array_distinct(F.flatten(F.transform(long_enough, cut)))
 
 
 def trigrams_of(text: str) -> list[str]:

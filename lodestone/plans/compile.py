@@ -59,7 +59,8 @@ def line_ranges(tree, line: Column, content: Column, path: Column, language: Col
         case And(parts) | Or(parts):
             own = [line_ranges(p, line, content, path, language) for p in parts]
             if isinstance(tree, Or):
-                own = [F.when(condition(p, content, path, language), n).otherwise(0) for p, n in zip(parts, own, strict=True)]
+                # The ranges come first: the condition reads the whole file and is asked only for lines that have some.
+                own = [F.when(n > 0, F.when(condition(p, content, path, language), n).otherwise(0)).otherwise(0) for p, n in zip(parts, own, strict=True)]
             out = F.lit(0)
             for n in reversed(own):
                 out = F.when(n > 0, n).otherwise(out)

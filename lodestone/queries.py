@@ -320,10 +320,10 @@ def change_counts(spark, sf_dir):
 
 
 @query(f"""WITH {_EVENTS}, marked AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 43200000000, true)::INT AS apart FROM changes WINDOW w AS (PARTITION BY path ORDER BY ts, event_id))
-SELECT path, session::BIGINT AS session, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n FROM (SELECT *, sum(apart) OVER (PARTITION BY path ORDER BY ts, event_id) AS session FROM marked) GROUP BY path, session""")
+SELECT path, session::BIGINT AS session, count(*) AS n FROM (SELECT *, sum(apart) OVER (PARTITION BY path ORDER BY ts, event_id) AS session FROM marked) GROUP BY path, session""")
 def debounce_sessions(spark, sf_dir):
     rows = quiet_sessions(_changes(spark, sf_dir), 12 * 3600)
-    return rows.select("path", F.col("session").cast("long").alias("session"), F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "n")
+    return rows.select("path", F.col("session").cast("long").alias("session"), "n")
 
 
 @query(f"""WITH {FILES} SELECT path, CASE WHEN file_id % 5 = 0 THEN 'Created' WHEN file_id % 3 = 0 THEN 'Deleted' ELSE 'Modified' END AS kind
