@@ -351,12 +351,12 @@ def _symbols(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name"), kind.alias("kind"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".rs")).alias("path"), F.lit("Rust").alias("language"), F.col("p_partkey").alias("line"))
 
 
-_SYMBOL_SCORE = f"CASE WHEN {FOLD.format('name')} = 'part 1' THEN 1.0 WHEN starts_with({FOLD.format('name')}, 'part 1') THEN 0.8 ELSE 0.5 END::DOUBLE"
+_SYMBOL_SCORE = f"CASE WHEN {FOLD.format('name')} = 'red' THEN 1.0 WHEN starts_with({FOLD.format('name')}, 'red') THEN 0.8 ELSE 0.5 END::DOUBLE"
 
 
-@query(f"WITH {_SYMBOLS} SELECT name, kind, path, line, {_SYMBOL_SCORE} AS score FROM symbols WHERE contains({FOLD.format('name')}, 'part 1') ORDER BY score DESC, name, path, line LIMIT 100")
+@query(f"WITH {_SYMBOLS} SELECT name, kind, path, line, {_SYMBOL_SCORE} AS score FROM symbols WHERE contains({FOLD.format('name')}, 'red') ORDER BY score DESC, name, path, line LIMIT 100")
 def symbol_search(spark, sf_dir):
-    return search_symbols(_symbols(spark, sf_dir), "Part 1").select("name", "kind", "path", "line", "score")
+    return search_symbols(_symbols(spark, sf_dir), "Red").select("name", "kind", "path", "line", "score")
 
 
 @query(f"WITH {_SYMBOLS} SELECT name, path, line FROM symbols WHERE kind = 'Function' AND contains({FOLD.format('path')}, '1') ORDER BY name, path, line LIMIT 50")
