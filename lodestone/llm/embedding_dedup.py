@@ -85,21 +85,18 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def link_blocks(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (node, links, root): links found in one bucket, and an edge to the smallest node joined with it there."""
-    sizes = {(r["label"], r["dim"]): r["n"] for r in found.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).toLocalIterator()}
-    plans = {k: (*plan_tables(n, threshold), n) for k, n in sizes.items()}
-    spark = found.sparkSession
-    held = spark.sparkContext.broadcast(plans)  # one entry a label
+    sizes = found.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("size"))
+    sized = found.withColumn("dim", F.size("embedding")).join(small_or_shuffled(sizes), ["label", "dim"])
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            dims = batch["embedding"].map(len)
-            for (label, dim), part in batch.groupby([batch["label"], dims], sort=False):
-                n_bits, tables, _ = held.value[(label, dim)]
+            for (_, dim, size), part in batch.groupby(["label", "dim", "size"], sort=False):
+                n_bits, tables = plan_tables(size, threshold)
                 x = np.array(part["embedding"].tolist(), float)
                 unit = _unit(x)
                 codes = _buckets(Codes(unit, rotations(dim, n_bits * tables)).bits, n_bits, tables)
                 for t in range(tables):
-                    yield pd.DataFrame({"label": part["label"], "dim": dim, "tab": t, "bucket": codes[:, t], "node": part["node"], "copies": part["copies"], "embedding": part["embedding"]})
+                    yield pd.DataFrame({"label": part["label"], "dim": dim, "size": size, "tab": t, "bucket": codes[:, t], "node": part["node"], "copies": part["copies"], "embedding": part["embedding"]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by bucket (and block pair); a bucket may go on in the next batch."""
@@ -112,21 +109,21 @@ def link_blocks(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 rest = batch
                 continue
             rest = batch.iloc[cuts[-1] :]
-            yield from _compared(batch.iloc[: cuts[-1]], held.value, threshold)
+            yield from _compared(batch.iloc[: cuts[-1]], threshold)
         if rest is not None:
-            yield from _compared(rest, held.value, threshold)
+            yield from _compared(rest, threshold)
 
-    rows = found.select("label", "node", "copies", "embedding").mapInPandas(spread, "label int, dim int, tab int, bucket long, node long, copies long, embedding array<double>")
+    rows = sized.select("label", "dim", "size", "node", "copies", "embedding").mapInPandas(spread, "label int, dim int, size long, tab int, bucket long, node long, copies long, embedding array<double>")
     rows = materialize(rows.withColumn("group", F.xxhash64("label", "dim", "tab", "bucket")), "vector-buckets")
-    busy = materialize(rows.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "vector-busy")
+    busy = materialize(rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"), "vector-busy")
     # A bucket above BLOCK rows is divided: a row goes to every pair of blocks that holds its own.
-    n_blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    n_blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     rows = rows.join(small_or_shuffled(busy), "group").withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     rows = rows.withColumn("other", other).withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
     rows = rows.withColumn("group", F.xxhash64("group", "first", "second"))
     placed = rows.repartition("group").sortWithinPartitions("group", "node")
-    return placed.select("group", "label", "dim", "tab", "bucket", "own", "first", "second", "node", "copies", "embedding").mapInPandas(compare, "node long, links long, root long")
+    return placed.select("group", "label", "dim", "size", "tab", "bucket", "own", "first", "second", "node", "copies", "embedding").mapInPandas(compare, "node long, links long, root long")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -134,15 +131,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _compared(rows: pd.DataFrame, plans: dict, threshold: float) -> Iterator[pd.DataFrame]:
+def _compared(rows: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
     nodes, links, roots = [], [], []
     groups = rows["group"].to_numpy()
     cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
     starts, ends = np.append(0, cuts), np.append(cuts, len(groups))
     # All codes of the batch at once, by label and length.
     whole = np.empty(len(rows), object)
-    for (label, dim), at in rows.reset_index(drop=True).groupby(["label", "dim"], sort=False).groups.items():
-        n_bits, tables, _ = plans[(label, dim)]
+    for (_, dim, size), at in rows.reset_index(drop=True).groupby(["label", "dim", "size"], sort=False).groups.items():
+        n_bits, tables = plan_tables(size, threshold)
         unit = _unit(np.array(rows["embedding"].iloc[at].tolist(), float))
         codes = Codes(unit, rotations(dim, n_bits * tables))
         buckets = _buckets(codes.bits, n_bits, tables)

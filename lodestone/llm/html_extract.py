@@ -8,8 +8,10 @@ longest common prefixes finds substrings of at least RUN tokens that stand on at
 without a container the tokens they cover are removed and unique runs are kept, also in blocks that only their class
 marks.
 
-A host's pages are dealt over shards of about SHARD pages by a hash, so that a host of any size is spread over tasks;
-boilerplate that covers a host stands on many pages of every shard.  Only text outside containers is shuffled.
+A host's distinct streams are dealt over shards of about SHARD by a hash of their text, so that a host of any size is
+spread over tasks.  Each shard has a suffix array; it says on how many distinct pages of the shard each substring of RUN
+tokens stands, the shards' numbers are added up by the substring's hash, and those that reach PAGES in the host go back
+to the shards that hold them.  So a host of many shards has the result of one.  Only text outside containers is shuffled.
 
 Cases: a null or empty page, and one without text, gives an empty text; a page whose url has no host belongs to the
 empty host; rows that repeat are pages of their own, except that copies of one page do not make its text boilerplate;
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_shuffled
+from .common import materialize, small_or_shuffled, splitmix
 
 RUN, PAGES, SHARD, SHORT = 8, 3, 512, 3
 
@@ -166,31 +168,52 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def covered(pages: list[list[str]], copies: list[int] | None = None, run: int = RUN, least: int = PAGES) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a run of `run` tokens or more that stands on `least` distinct pages."""
+def gram_hashes(tokens: list[str], run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of the `run` tokens from each place of a page on; shorter ends have none."""
+    import xxhash
+
+    n = len(tokens) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(run):
+        out = splitmix(out ^ h[k : k + n])
+    return out.view(np.int64)
+
+
+def repeated_runs(pages: list[list[str]], copies: list[int], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, distinct pages) of every substring of `run` tokens, from a suffix array over the pages' joined tokens;
+    pages with the same number in `copies` count as one."""
     names: dict[str, int] = {}
-    ids, owner = [], []
+    ids, owner, hashes, whole = [], [], [], []
     for p, tokens in enumerate(pages):
         ids += [names.setdefault(t, len(names)) for t in tokens]
         ids.append(-p - 1)  # separators are all different
         owner += [p] * (len(tokens) + 1)
-    ids_a, owner_a = np.array(ids, np.int64), np.array(owner, np.int64)
-    marks = np.zeros(len(ids_a) + 1, np.int64)
-    if len(ids_a):
-        order, ranks = suffix_array(ids_a)
-        lcp = common_prefixes(order, ranks)
-        group = np.cumsum(lcp < run)  # suffixes that share their first `run` tokens
-        who = np.array(copies, np.int64)[owner_a] if copies is not None else owner_a
-        pair = np.unique(np.stack([group, who[order]], axis=1), axis=0)
-        wide = np.bincount(pair[:, 0], minlength=group[-1] + 1) >= least
-        at = order[wide[group]]
-        np.add.at(marks, at, 1)
-        np.add.at(marks, np.minimum(at + run, len(ids_a)), -1)
-    cover, out, lo = np.cumsum(marks)[:-1] > 0, [], 0
-    for tokens in pages:
-        out.append(cover[lo : lo + len(tokens)])
-        lo += len(tokens) + 1
-    return out
+        found = gram_hashes(tokens, run)
+        short = len(tokens) + 1 - len(found)
+        hashes += [found, np.zeros(short, np.int64)]
+        whole += [np.ones(len(found), bool), np.zeros(short, bool)]
+    if not ids:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order, ranks = suffix_array(np.array(ids, np.int64))
+    fresh = common_prefixes(order, ranks) < run
+    group = np.cumsum(fresh) - 1  # suffixes that share their first `run` tokens
+    who = np.array(copies, np.int64)[np.array(owner, np.int64)][order]
+    pair = np.unique(np.stack([group, who], axis=1), axis=0)
+    n_pages, first = np.bincount(pair[:, 0], minlength=group[-1] + 1), order[fresh]
+    good = np.concatenate(whole)[first]
+    return np.concatenate(hashes)[first][good], n_pages[good]
+
+
+def cover_of(tokens: list[str], wide: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which tokens lie in a substring of `run` tokens whose hash is in `wide`."""
+    marks = np.zeros(len(tokens) + 1, np.int64)
+    at = np.flatnonzero(np.isin(gram_hashes(tokens, run), wide))
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + run, -1)
+    return np.cumsum(marks)[:-1] > 0
 
 
 def unique_runs(tokens: list[str], cover: np.ndarray, short: int = SHORT) -> list[str]:
@@ -211,45 +234,64 @@ def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+def _stream(host: str, has_main: bool, blocks: list[tuple[str, str]]) -> tuple[int, str, str]:
+    """(key, texts, which of them are chrome) of what lies outside a page's containers; the key names equal streams."""
+    import xxhash
+
+    around = [(kind == "chrome", t) for kind, t in blocks if kind != "main"]
+    texts, chrome = "\n".join(t for _, t in around), "".join("01"[c] for c, _ in around)
+    key = xxhash.xxh3_64_intdigest(f"{host}\n{has_main:d}{chrome}\n{texts}".encode("utf-8", "surrogatepass"))
+    return key - (1 << 64) * (key >> 63), texts, chrome
+
+
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """(key, kept, n_boilerplate) of the pages with text outside containers: the unique runs to keep (null where the
+    """(key, kept, n_boilerplate) of the distinct streams outside containers: the unique runs to keep (null where the
     page has a container), and how many tokens the host repeats."""
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("key"), _host(F.col("url")).alias("host"), "html")
+    rows = pages.select(_host(F.col("url")).alias("host"), "html")
 
     def outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, host, html in zip(batch["key"], batch["host"], batch["html"], strict=True):
+            for host, html in zip(batch["host"], batch["html"], strict=True):
                 has, blocks = parse(html)
-                around = [(kind == "chrome", t) for kind, t in blocks if kind != "main"]
-                if around:
-                    out.append((key, host, has, "\n".join(t for _, t in around), "".join("01"[c] for c, _ in around)))
+                key, texts, chrome = _stream(host, has, blocks)
+                if chrome:
+                    out.append((key, host, has, texts, chrome))
             yield pd.DataFrame(out, columns=["key", "host", "has_main", "texts", "chrome"])
 
     streams = rows.mapInPandas(outside, "key long, host string, has_main boolean, texts string, chrome string").dropDuplicates(["key"])
     streams = materialize(streams, "page-streams")
-    hosts = streams.groupBy("host").agg(F.count("*").alias("pages"))
-    sharded = streams.join(small_or_shuffled(hosts), "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.ceil(F.col("pages") / F.lit(SHARD))).cast("int"))
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        blocks = [t.split("\n") for t in group["texts"]]
-        tokens = [[w for b in bs for w in b.split(" ")] for bs in blocks]
-        copies = pd.factorize(group["texts"])[0].tolist()  # equal streams count as one page
-        cover = covered(tokens, copies)
-        out = []
-        for key, has, bs, chrome, words, c in zip(group["key"], group["has_main"], blocks, group["chrome"], tokens, cover, strict=True):
-            gone = c.copy()
+    hosts = streams.groupBy("host").agg(F.ceil(F.count("*") / F.lit(SHARD)).cast("int").alias("shards"))
+    # Equal texts share a shard, so that the shards' numbers of distinct pages add up to the host's.
+    sharded = streams.join(small_or_shuffled(hosts), "host").withColumn("shard", F.pmod(F.xxhash64("texts"), F.col("shards")).cast("int"))
+
+    def tokens_of(group: pd.DataFrame) -> list[list[str]]:
+        return [t.replace("\n", " ").split(" ") for t in group["texts"]]
+
+    def repeats(group: pd.DataFrame) -> pd.DataFrame:
+        run, n = repeated_runs(tokens_of(group), pd.factorize(group["texts"])[0].tolist())
+        if group["shards"].iloc[0] == 1:  # nothing to add from other shards
+            run, n = run[n >= PAGES], n[n >= PAGES]
+        return pd.DataFrame({"host": group["host"].iloc[0], "shard": group["shard"].iloc[0], "run": run, "n": n})
+
+    def decide(group: pd.DataFrame, wide: pd.DataFrame) -> pd.DataFrame:
+        out, runs = [], wide["run"].to_numpy(np.int64)
+        for key, has, texts, chrome, words in zip(group["key"], group["has_main"], group["texts"], group["chrome"], tokens_of(group), strict=True):
+            cover = cover_of(words, runs)
+            gone = cover.copy()
             lo = 0
-            for b, is_chrome in zip(bs, chrome, strict=True):
+            for b, is_chrome in zip(texts.split("\n"), chrome, strict=True):
                 n = b.count(" ") + 1
                 if is_chrome == "1":
                     gone[lo : lo + n] = True
                 lo += n
-            out.append((key, None if has else " ".join(unique_runs(words, gone)), int(c.sum())))
+            out.append((key, None if has else " ".join(unique_runs(words, gone)), int(cover.sum())))
         return pd.DataFrame(out, columns=["key", "kept", "n_boilerplate"])
 
-    return sharded.groupBy("host", "shard").applyInPandas(decide, "key long, kept string, n_boilerplate long")
+    runs = materialize(sharded.groupBy("host", "shard").applyInPandas(repeats, "host string, shard int, run long, n long"), "page-repeats")
+    wide = runs.groupBy("host", "run").agg(F.sum("n").alias("pages")).where(F.col("pages") >= PAGES).select("host", "run")
+    wide = runs.join(wide, ["host", "run"], "left_semi")
+    return sharded.groupBy("host", "shard").cogroup(wide.groupBy("host", "shard")).applyInPandas(decide, "key long, kept string, n_boilerplate long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -259,12 +301,15 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             parsed = [parse(h) for h in batch["html"]]
             yield pd.DataFrame(
-                {"page_id": pd.array(batch["page_id"], dtype="Int64"), "url": batch["url"], "key": batch["key"], "has_main": [h for h, _ in parsed], "own": [" ".join(t for kind, t in b if kind == "main") for _, b in parsed]}
-            )
+                {
+                    "page_id": pd.array(batch["page_id"], dtype="Int64"), "url": batch["url"], "key": [_stream(host, *p)[0] for host, p in zip(batch["host"], parsed, strict=True)],
+                    "has_main": [h for h, _ in parsed], "own": [" ".join(t for kind, t in b if kind == "main") for _, b in parsed],
+                }
+            )
 
     found = materialize(boilerplate(pages), "page-runs").withColumnRenamed("key", "k")
     counts, kept = found.select("k", "n_boilerplate"), found.where("kept <> ''").select("k", "kept")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("page_id", "url", "html").alias("key"), "html")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host(F.col("url")).alias("host"), "html")
     rows = keyed.mapInPandas(main_text, "page_id long, url string, key long, has_main boolean, own string")
     rows = rows.join(small_or_shuffled(counts), rows["key"] == counts["k"], "left").drop("k")
     n = kept.count()

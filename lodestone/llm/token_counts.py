@@ -1,8 +1,8 @@
 """Token counts by two-tier lookup of pre-tokens.
 
 A first pass counts pre-tokens in every partition with a bounded summary of heavy hitters; summaries merge in a few
-tasks, and the most frequent pre-tokens with their lengths in ids become a compact hash table that is broadcast: slots
-of fingerprint and length, at most TABLE_ENTRIES of them.  The second pass looks every pre-token up there; misses are
+tasks, and the most frequent pre-tokens with their lengths in ids become a hash table that is broadcast: at most
+TABLE_ENTRIES pre-tokens of at most LONGEST characters.  The second pass looks every pre-token up there; misses are
 encoded once per worker and kept in its bounded cache.  Pre-tokens themselves are never shuffled.  The table only
 saves time: a pre-token that is not in it gets the same length from the tokenizer.
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .tokens import Tier, cached, tokenizer_path
+from .tokens import LONGEST, Tier, cached, tokenizer_path
 
 #: Bounds: entries of the broadcast table, and of one task's summary.
 TABLE_ENTRIES, SUMMARY_ENTRIES = 65_536, 16_384
@@ -41,7 +41,8 @@ def frequent_pre_tokens(docs: DataFrame, path: str) -> dict[str, int]:
         for batch in batches:
             for text in batch["text"]:
                 if text and tokenizer.plain(text):
-                    counts.update(tokenizer.pre_tokens(text))
+                    pieces = tokenizer.pre_tokens(text)
+                    counts.update(pieces if max(map(len, pieces)) <= LONGEST else [p for p in pieces if len(p) <= LONGEST])
             if len(counts) > 8 * SUMMARY_ENTRIES:
                 counts = _pruned(counts, 2 * SUMMARY_ENTRIES)
         yield pd.DataFrame({"summary": [pickle.dumps(dict(_pruned(counts, SUMMARY_ENTRIES)))]})

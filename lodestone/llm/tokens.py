@@ -18,8 +18,8 @@ _UNKNOWN = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įĲ-žƀ-ǃ]").search
 _BYTE_PATTERN = rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
 _WORD_PATTERN = rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+"
 
-#: Entries of a worker's cache, of about 200 bytes each.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's cache, of about 200 bytes each, and the longest pre-token that is kept in any table.
+CACHE_ENTRIES, LONGEST = 400_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,13 +36,15 @@ def byte_letters() -> dict[int, str]:
 
 
 class Cache(dict):
-    """Fills itself from a function, and is emptied when full."""
+    """Fills itself from a function, and is emptied when full. Long keys are not kept."""
 
     def __init__(self, find, entries: int = CACHE_ENTRIES) -> None:
         super().__init__()
         self.find, self.entries = find, entries
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.find(key)
         if len(self) >= self.entries:
             self.clear()
         value = self[key] = self.find(key)

@@ -207,6 +207,21 @@ def test_html(spark):
     assert all(out[i] == f"story number {i} tells of a{i} b{i} c{i}" for i in range(5))
 
 
+def test_html_shards_add_up(spark, monkeypatch):
+    """A run on just three pages of a host is found whether the host is one shard or many; equal pages count once."""
+    body = "<html><body><div>{}</div><div>{}</div></body></html>"
+    thrice, twice = "these ten words stand on exactly three pages of host", "these ten words stand on two pages and their copies"
+    rows = [(i, "http://h.z/", body.format(" ".join(f"u{i}x{k}" for k in range(12)), thrice if i < 3 else twice if i < 5 else f"end{i}")) for i in range(40)]
+    rows += [(100 + i, "http://h.z/", rows[3][2]) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for shard in (512, 3):
+        monkeypatch.setattr(html_extract, "SHARD", shard)
+        found.append({r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()})
+    assert found[0] == found[1]
+    assert all((thrice in found[0][i]) is False and f"u{i}x0" in found[0][i] for i in range(3)) and all(twice in found[0][i] for i in (3, 4, 100, 103))
+
+
 def test_suffix_array():
     random.seed(1)
     ids = np.array([random.randint(0, 2) for _ in range(60)])
