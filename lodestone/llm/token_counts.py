@@ -42,7 +42,7 @@ def frequent_pre_tokens(docs: DataFrame, path: str) -> dict[str, int]:
             for text in batch["text"]:
                 if text and tokenizer.plain(text):
                     pieces = tokenizer.pre_tokens(text)
-                    counts.update(pieces if max(map(len, pieces)) <= LONGEST else [p for p in pieces if len(p) <= LONGEST])
+                    counts.update(pieces if max(map(len, pieces), default=0) <= LONGEST else [p for p in pieces if len(p) <= LONGEST])
             if len(counts) > 8 * SUMMARY_ENTRIES:
                 counts = _pruned(counts, 2 * SUMMARY_ENTRIES)
         yield pd.DataFrame({"summary": [pickle.dumps(dict(_pruned(counts, SUMMARY_ENTRIES)))]})
