@@ -24,6 +24,13 @@ def trigrams(content: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(long_enough, cut)))
 
 
+def positions(content: Column) -> Column:
+    """Every folded byte trigram with its byte offset from 0, in order: array of (trigram, at)."""
+    cut = lambda data: F.transform(F.sequence(F.lit(1), F.octet_length(data) - 2), lambda i: F.struct(F.hex(F.substr(data, i, F.lit(3))).alias("trigram"), (i - 1).alias("at")))
+    long_enough = F.filter(F.array(F.encode(fold(content), "UTF-8")), lambda data: F.octet_length(data) >= 3)
+    return F.flatten(F.transform(long_enough, cut))
+
+
 def trigrams_of(text: str) -> list[str]:
     data = "".join(c.lower() if c in string.ascii_uppercase else c for c in text).encode()
     return list(dict.fromkeys(data[i : i + 3].hex().upper() for i in range(len(data) - 2)))
@@ -59,6 +66,11 @@ def language_of(path: Column) -> Column:
     return F.when((name == "Dockerfile") | name.startswith("Dockerfile."), "Dockerfile").otherwise(F.coalesce(F.try_element_at(table, extension(path)), F.lit("Unknown")))
 
 
+def is_unsafe_path(path: Column) -> Column:
+    """An absolute path, or one with a component that leads upwards."""
+    return path.startswith("/") | F.array_contains(F.split(path, "/"), "..")
+
+
 def is_binary_path(path: Column) -> Column:
     return F.lower(extension(path)).isin(*BINARY_EXTENSIONS)
 

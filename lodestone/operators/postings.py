@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trigrams
+from ..functions.text import positions, trigrams
 
 #: Of a conjunction's trigrams the rarest so many are looked up; verification makes the others redundant.
 RAREST = 6
@@ -16,6 +16,11 @@ def build(files: DataFrame) -> DataFrame:
     return files.select(F.explode(trigrams(F.col("content"))).alias("trigram"), "segment_id", "file_id")
 
 
+def build_positional(files: DataFrame) -> DataFrame:
+    """(trigram, segment_id, file_id, at), one row an occurrence, with its byte offset. No shuffle."""
+    return files.select("segment_id", "file_id", F.explode(positions(F.col("content"))).alias("p")).select("p.trigram", "segment_id", "file_id", "p.at")
+
+
 def statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("trigram").agg(F.count("*").alias("df"))
 
@@ -53,6 +58,34 @@ def varint_length(n):
     return F.when(n < 1 << 7, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).when(n < 1 << 35, 5).otherwise(10)
 
 
+def varint(n):
+    """A number below 2^35 in groups of 7 bits, the lowest first, as hex digits: all groups but the last have the high bit."""
+    groups = F.sequence(F.lit(0), varint_length(n) - 1)
+    rest = lambda i: F.floor(n / F.pow(F.lit(128.0), i)).cast("long")
+    byte = lambda i: rest(i) % 128 + F.when(i < varint_length(n) - 1, 128).otherwise(0)
+    return F.array_join(F.transform(groups, lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
+
+
+def encoded_lists(postings: DataFrame) -> DataFrame:
+    """(trigram, segment_id, n, data): each posting list as the gaps of its sorted ids in groups of 7 bits."""
+    lists = postings.groupBy("trigram", "segment_id").agg(F.sort_array(F.collect_set("file_id")).alias("ids"))
+    deltas = F.transform("ids", lambda x, i: x - F.when(i > 0, F.get("ids", i - 1)).otherwise(0))
+    return lists.select("trigram", "segment_id", F.size("ids").alias("n"), F.unhex(F.array_join(F.transform(deltas, varint), "")).alias("data"))
+
+
+def decoded_lists(lists: DataFrame) -> DataFrame:
+    """(trigram, segment_id, file_id) from encoded lists; a number that is cut off at the end is left out."""
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("unit"))
+
+    def step(state, byte):
+        value = state["value"] + byte % 128 * state["unit"]
+        done = F.struct(F.array_append(state["out"], state["last"] + value).alias("out"), (state["last"] + value).alias("last"), F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("unit"))
+        return F.when(byte < 128, done).otherwise(F.struct(state["out"].alias("out"), state["last"].alias("last"), value.alias("value"), (state["unit"] * 128).alias("unit")))
+
+    bytes_of = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substr(F.col("data"), i, F.lit(1))), 16, 10).cast("long"))
+    return lists.select("trigram", "segment_id", F.explode(F.aggregate(bytes_of, start, step)["out"]).alias("file_id"))
+
+
 def estimate(files: DataFrame) -> DataFrame:
     """Per segment: files, raw bytes, distinct trigrams, postings, encoded bytes."""
     lists = gaps(build(files)).groupBy("segment_id", "trigram").agg(F.count("*").alias("n"), F.sum(varint_length(F.col("gap"))).alias("bytes"))

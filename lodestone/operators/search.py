@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking
 from ..functions.tables import KIND_ALIASES, SYMBOL_KINDS, language_named
-from ..functions.text import fold, glob_regex, lines
-from ..plans.compile import condition, matched_lines
+from ..functions.text import fold, glob_regex, html_escape, lines, trigrams, trigrams_of
+from ..plans.compile import condition, first_column, matched_lines
 from ..plans.prune import required
 from ..plans.query import Literal, Regex, parse, show, smart_case
 from . import postings
@@ -87,6 +87,11 @@ class Engine:
         rows = rows.select((F.col("i") + 1).alias("line_number"), "content").where(F.col("line_number") >= max(1, first))
         return rows.where(F.col("line_number") <= last) if last is not None else rows
 
+    def preview(self, path: str, line: int, context: int = 20) -> DataFrame:
+        """A window of 2 * context + 1 lines around a line of the newest version of a path."""
+        context = min(context, MAX_CONTEXT)
+        return self.slice(path, max(1, line - context), max(line, 1) + context)
+
     def list_files(self, name: str | None = None, language: str | None = None, sort: str = "path", limit: int | None = None) -> DataFrame:
         rows = newest(self.files)
         if name:
@@ -114,9 +119,30 @@ def with_context(results: DataFrame, files: DataFrame, context: int) -> DataFram
     return rows.select("path", "block", number.alias("line_number"), "content", F.array_contains("hits", number).alias("is_match"))
 
 
-def vimgrep(results: DataFrame) -> DataFrame:
-    """One row a matching line, as path:line:content."""
-    return results.select("path", F.explode("lines").alias("l")).select(F.concat_ws(":", "path", F.col("l.line_number").cast("string"), F.col("l.content")).alias("text"))
+def vimgrep(results: DataFrame, query) -> DataFrame:
+    """One row a matching line, as path:line:column:content; the column counts bytes from 1."""
+    tree = parse(query) if isinstance(query, str) else query
+    rows = results.select("path", F.explode("lines").alias("l")).select("path", "l.line_number", "l.content")
+    return rows.select(F.concat_ws(":", "path", F.col("line_number").cast("string"), first_column(tree, F.col("content")).cast("string"), "content").alias("text"))
+
+
+def text_report(results: DataFrame) -> DataFrame:
+    """One row a file: a heading with path, language and number of matches, and its matching lines."""
+    heading = F.concat(F.lit("## "), "path", F.lit(" ("), "language", F.lit(", "), F.col("match_count").cast("string"), F.when(F.col("match_count") == 1, " match)").otherwise(" matches)"))
+    shown = F.transform("lines", lambda x: F.concat(F.lit("L"), x["line_number"].cast("string"), F.lit(": "), x["content"]))
+    return results.select("path", F.concat_ws("\n", heading, F.array_join(shown, "\n")).alias("text"))
+
+
+def marked(results: DataFrame, literal: str) -> DataFrame:
+    """One row a matching line, as HTML with the exact literal in mark elements: path, line_number, html."""
+    rows = results.select("path", F.explode("lines").alias("l")).select("path", "l.line_number", "l.content")
+    word = html_escape(F.lit(literal))
+    return rows.select("path", "line_number", F.replace(html_escape(F.col("content")), word, F.concat(F.lit("<mark>"), word, F.lit("</mark>"))).alias("html"))
+
+
+def json_lines(results: DataFrame) -> DataFrame:
+    """One row a file, as a JSON object."""
+    return results.select(F.to_json(F.struct("path", "language", "match_count", "score", "lines")).alias("value"))
 
 
 def search_symbols(symbols: DataFrame, query: str = "", kind: str | None = None, language: str | None = None, path: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -132,6 +158,20 @@ def search_symbols(symbols: DataFrame, query: str = "", kind: str | None = None,
     return rows.orderBy(F.col("score").desc(), "name", "path", "line").offset(offset).limit(limit)
 
 
+def symbol_postings(symbols: DataFrame) -> DataFrame:
+    """(trigram, path, name, line): an index of trigrams over the names of symbols."""
+    return symbols.select(F.explode(trigrams(F.col("name"))).alias("trigram"), "path", "name", "line")
+
+
+def indexed_symbols(symbols: DataFrame, index: DataFrame, query: str, **filters) -> DataFrame:
+    """search_symbols by way of the index; names too short for a trigram are scanned."""
+    grams = trigrams_of(query)
+    if not grams:
+        return search_symbols(symbols, query, **filters)
+    hits = index.where(F.col("trigram").isin(grams)).groupBy("path", "name", "line").agg(F.count_distinct("trigram").alias("n")).where(F.col("n") == len(grams))
+    return search_symbols(symbols.join(hits.drop("n"), ["path", "name", "line"], "left_semi"), query, **filters)
+
+
 def kind_label(kind: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, (label, _) in SYMBOL_KINDS.items():

@@ -49,6 +49,25 @@ def _leaf_ranges(tree, line: Column) -> Column:
     return F.regexp_count(line, F.lit(java_regex(tree.pattern)))
 
 
+def first_column(tree, line: Column) -> Column:
+    """1-based byte column of the first match in a line, of the first leaf that matches there; 1 where none does."""
+    found: list[Column] = []
+
+    def walk(node) -> None:
+        match node:
+            case Literal(text, case) if text:
+                found.append(F.locate(text if case else _folded(text), line if case else fold(line)))
+            case Regex(pattern):
+                found.append(F.regexp_instr(line, F.lit(java_regex(pattern))))
+            case And(parts) | Or(parts):
+                for p in parts:
+                    walk(p)
+
+    walk(tree)
+    at = F.coalesce(*[F.when(p > 0, p) for p in found], F.lit(1))
+    return F.octet_length(F.substr(line, F.lit(1), at - 1)) + 1
+
+
 def line_ranges(tree, line: Column, content: Column, path: Column, language: Column) -> Column:
     """Ranges in a line: those of the first part that has any; parts that the file does not satisfy have none."""
     match tree:

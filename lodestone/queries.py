@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .functions import ranking, text
 from .functions.tables import SYMBOL_KINDS
 from .operators import postings, reports
-from .operators.search import Engine, live, newest, search_symbols, vimgrep, with_context
+from .operators.search import Engine, indexed_symbols, live, marked, newest, search_symbols, symbol_postings, text_report, vimgrep, with_context
 from .plans.query import And, parse
 from .plans.prune import required
 from .sources.corpus import NOW, document_files
-from .streaming.changes import actions, event_changes, hash_diff, last_of_path, quiet_sessions
+from .streaming.changes import actions, caught_up, event_changes, hash_diff, last_of_path, quiet_sessions, split_renames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -217,9 +217,69 @@ def result_totals(spark, sf_dir):
     return engine(spark, sf_dir).search("und").agg(F.count("*").alias("files"), F.sum(F.size("lines")).alias("lines"))
 
 
-@query(f"WITH {LINES} SELECT path || ':' || line_number || ':' || line AS text FROM line_rows WHERE contains({FOLD.format('line')}, 'ungen')")
+@query(f"WITH {LINES} SELECT path || ':' || line_number || ':' || octet_length(encode(substr(line, 1, instr({FOLD.format('line')}, 'ungen') - 1))) + 1 || ':' || line AS text FROM line_rows WHERE contains({FOLD.format('line')}, 'ungen')")
 def vimgrep_lines(spark, sf_dir):
-    return vimgrep(engine(spark, sf_dir).search("ungen"))
+    return vimgrep(engine(spark, sf_dir).search("ungen"), "ungen")
+
+
+@query(f"""WITH {LINES}, hits AS (SELECT * FROM line_rows WHERE contains({FOLD.format('line')}, 'ungen')),
+counted AS (SELECT *, len(regexp_extract_all({FOLD.format('line')}, 'ungen')) AS n FROM hits)
+SELECT path, '## ' || path || ' (' || any_value(language) || ', ' || sum(n)::BIGINT || CASE WHEN sum(n) = 1 THEN ' match)' ELSE ' matches)' END || chr(10)
+  || string_agg('L' || line_number || ': ' || line, chr(10) ORDER BY line_number) AS text FROM counted GROUP BY path""")
+def report_text(spark, sf_dir):
+    return text_report(engine(spark, sf_dir).search("ungen"))
+
+
+@query(f"""WITH {LINES} SELECT path, line_number, replace(replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), 'tion', '<mark>tion</mark>') AS html
+FROM line_rows WHERE contains(line, 'tion')""")
+def marked_lines(spark, sf_dir):
+    return marked(engine(spark, sf_dir).search('case:yes "tion"'), "tion")
+
+
+@query(_found("contains(content, 'The')"))
+def smart_case_pattern(spark, sf_dir):
+    return engine(spark, sf_dir).pattern("The").select("file_id", "path")
+
+
+@query(_found("regexp_matches(content, '(?i)the [a-z]+tion')"))
+def pattern_regex_folded(spark, sf_dir):
+    return engine(spark, sf_dir).pattern("the [a-z]+tion", regex=True, case=False).select("file_id", "path")
+
+
+@query(f"WITH {LINES} SELECT line_number, line AS content FROM line_rows WHERE file_id = 3 AND line_number BETWEEN 3 AND 7")
+def preview_window(spark, sf_dir):
+    e = engine(spark, sf_dir)
+    path = e.files.where("file_id = 3").select("path").first()
+    return e.preview(path["path"] if path else "", 5, 2)
+
+
+@query(f"WITH {FILES} SELECT file_id, sha256(content) AS content_hash FROM files")
+def content_hashes(spark, sf_dir):
+    return document_files(spark, sf_dir).select("file_id", F.sha2("content", 256).alias("content_hash"))
+
+
+@query("SELECT p_partkey, starts_with(path, '/') OR list_contains(string_split(path, '/'), '..') AS unsafe FROM (SELECT p_partkey, ['', '/', '../', 'a/../', 'a..b/'][p_partkey % 5 + 1] || p_name AS path FROM part)")
+def unsafe_paths(spark, sf_dir):
+    start = F.element_at(F.array(*[F.lit(x) for x in ("", "/", "../", "a/../", "a..b/")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.is_unsafe_path(F.concat(start, "p_name")).alias("unsafe"))
+
+
+@query(f"WITH {FILES} SELECT max(mtime) AS newest, 1700001000 - max(mtime) AS age, 1700001000 - max(mtime) >= 600 AS stale FROM files")
+def index_staleness(spark, sf_dir):
+    return reports.staleness(document_files(spark, sf_dir), NOW + 1000)
+
+
+@query(f"""WITH {FILES}, coded AS (SELECT *, hex(encode({FOLDED})) AS digits FROM files), found AS (
+  SELECT file_id, substr(digits, 2 * i + 1, 6) AS trigram, i AS place FROM (SELECT *, unnest(range(0, length(digits) // 2 - 2)) AS i FROM coded))
+SELECT trigram, count(*) AS occurrences, count(DISTINCT file_id) AS files, sum(place)::BIGINT AS offsets FROM found GROUP BY trigram""")
+def positional_postings(spark, sf_dir):
+    rows = postings.build_positional(document_files(spark, sf_dir))
+    return rows.groupBy("trigram").agg(F.count("*").alias("occurrences"), F.count_distinct("file_id").alias("files"), F.sum("at").alias("offsets"))
+
+
+@query(f"WITH {GRAMS} SELECT trigram, segment_id, file_id FROM postings")
+def postings_round_trip(spark, sf_dir):
+    return postings.decoded_lists(postings.encoded_lists(postings.build(document_files(spark, sf_dir))))
 
 
 @query(f"WITH {LINES} SELECT line_number, line AS content FROM line_rows WHERE file_id = 3 AND line_number BETWEEN 2 AND 6")
@@ -314,6 +374,18 @@ def change_actions(spark, sf_dir):
     return actions(_changes(spark, sf_dir)).select("event_id", "tombstone", "entry")
 
 
+@query(f"""WITH {_EVENTS} SELECT event_id, path, CASE kind WHEN 'Renamed' THEN 'Deleted' ELSE kind END AS kind FROM changes
+UNION ALL SELECT event_id, path || '.new', 'Created' FROM changes WHERE kind = 'Renamed'""")
+def rename_split(spark, sf_dir):
+    return split_renames(_changes(spark, sf_dir).withColumn("new_path", F.concat("path", F.lit(".new"))))
+
+
+@query(f"""WITH {_EVENTS}, last AS (SELECT kind FROM changes QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) = 1)
+SELECT count(*) FILTER (WHERE kind = 'Created') AS created, count(*) FILTER (WHERE kind IN ('Modified', 'Renamed')) AS modified, count(*) FILTER (WHERE kind = 'Deleted') AS deleted FROM last""")
+def catch_up_counts(spark, sf_dir):
+    return caught_up(last_of_path(_changes(spark, sf_dir)))
+
+
 @query(f"WITH {_EVENTS} SELECT kind, count(*) AS n FROM changes GROUP BY kind")
 def change_counts(spark, sf_dir):
     return _changes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
@@ -359,6 +431,12 @@ def symbol_search(spark, sf_dir):
     return search_symbols(_symbols(spark, sf_dir), "Red").select("name", "kind", "path", "line", "score")
 
 
+@query(f"WITH {_SYMBOLS} SELECT name, path, line FROM symbols WHERE contains({FOLD.format('name')}, 'red') ORDER BY {_SYMBOL_SCORE} DESC, name, path, line LIMIT 100")
+def symbol_index_search(spark, sf_dir):
+    symbols = _symbols(spark, sf_dir)
+    return indexed_symbols(symbols, symbol_postings(symbols), "Red").select("name", "path", "line")
+
+
 @query(f"WITH {_SYMBOLS} SELECT name, path, line FROM symbols WHERE kind = 'Function' AND contains({FOLD.format('path')}, '1') ORDER BY name, path, line LIMIT 50")
 def symbol_filters(spark, sf_dir):
     return search_symbols(_symbols(spark, sf_dir), "", "fn", "rust", "1", 50).select("name", "path", "line")

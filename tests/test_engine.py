@@ -110,3 +110,24 @@ def test_store_and_stream(spark, files, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_checkpoint_and_recovery(spark, files, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/index")
+    assert store.checkpoint() is None and store.recover() == []
+    store.add(files.drop("segment_id"))
+    store.save_checkpoint("abc", 17)
+    assert store.checkpoint() == {"version": 1, "commit": "abc", "indexed_at": 17, "files": files.count()}
+    files.write.parquet(f"file://{tmp_path}/index/segment_000009/files")
+    assert store.recover() == ["segment_000009"] and store.recover() == [] and store.files().count() == files.count()
+
+
+def test_sinks(spark, files):
+    import json
+
+    from lodestone.operators.search import json_lines, vimgrep
+
+    found = Engine(files).search("/fn [a-z]+/")
+    rows = [json.loads(r["value"]) for r in json_lines(found).collect()]
+    assert rows and all(r["lines"] and r["match_count"] >= 1 for r in rows)
+    assert all(len(r["text"].split(":", 3)) == 4 and int(r["text"].split(":")[2]) >= 1 for r in vimgrep(found, "/fn [a-z]+/").collect())

@@ -4,7 +4,11 @@ import pytest
 from lodestone import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["lit_folded", "query_mixed", "postings_build", "candidates_any", "context_lines", "ranked_topk", "segment_stats", "newest_wins", "event_dedup", "debounce_sessions", "hash_differences", "symbol_search", "estimate_index", "rle_tokens"]
+NAMES = [
+    "lit_folded", "query_mixed", "postings_build", "candidates_any", "context_lines", "ranked_topk", "segment_stats", "newest_wins", "event_dedup", "debounce_sessions", "hash_differences", "symbol_search", "estimate_index", "rle_tokens",
+    "vimgrep_lines", "report_text", "marked_lines", "smart_case_pattern", "pattern_regex_folded", "preview_window", "content_hashes", "unsafe_paths", "index_staleness", "positional_postings", "postings_round_trip",
+    "rename_split", "catch_up_counts", "symbol_index_search",
+]
 
 
 def _plain(v):
