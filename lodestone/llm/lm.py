@@ -5,7 +5,7 @@ summed over the whole corpus and written.  Only a bounded number of the most fre
 
 Model.  The probability of a token is factored by classes: P(class | history) * P(token | class).  The first factor is a
 softmax over the classes whose features are hashed: the unit before (n-gram), the two units before together (n-gram),
-and the units two, three and four places before (skip); a unit is a frequent word, or the hashed ending of another.  The
+and the units two, three and four places before (skips); a unit is a frequent word, or the hashed ending of another.  The
 second factor is the maximum-entropy solution with one feature a word: counts within the class plus one, over the class's
 tokens plus types plus one, which leaves mass for unknown words as the base does.  Classes group units by the company
 they keep: k-means over each unit's counts of hashed neighbours.
@@ -36,10 +36,10 @@ from .common import crc_remainder, lower_words, materialize, small_batches
 
 END = b"\n"
 #: Words whose counts are broadcast; words with a unit of their own; hashed endings; classes; places of neighbours.
-FREQUENT, OWN_UNITS, ENDINGS, CLASSES, PLACES = 131_072, 1024, 512, 16, 64
+FREQUENT, OWN_UNITS, ENDINGS, CLASSES, PLACES = 131_072, 1024, 512, 24, 64
 UNITS = OWN_UNITS + ENDINGS + 2
 BEGIN_UNIT, END_UNIT = UNITS - 2, UNITS - 1
-SKIPS, PAIR_ROWS = 3, 8192
+SKIPS, PAIR_ROWS = 4, 8192
 #: Rows of the weights: the bias, one a unit and distance, and the hashed pairs.
 ROWS = 1 + SKIPS * UNITS + PAIR_ROWS
 RATE, DECAY, BATCH = 0.4, 1e-5, 8192
@@ -149,15 +149,16 @@ class Ranked:
 
 
 def company(rows: DataFrame, frequent: Ranked) -> np.ndarray:
-    """Units x PLACES: how often each unit stands beside units hashed to a place."""
+    """Units x PLACES: how often each unit stands within two places of units hashed to a place."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, total = words_for(frequent), np.zeros(UNITS * PLACES, np.int64)
         for batch in batches:
             u = _joined([words.units(tokens_of(t)) for t in batch["text"]]).astype(np.int64)
             hashed = (u * 2654435761 >> 7) % PLACES
-            total += np.bincount(u[1:] * PLACES + hashed[:-1], minlength=UNITS * PLACES)
-            total += np.bincount(u[:-1] * PLACES + hashed[1:], minlength=UNITS * PLACES)
+            for d in (1, 2):
+                total += np.bincount(u[d:] * PLACES + hashed[:-d], minlength=UNITS * PLACES)
+                total += np.bincount(u[:-d] * PLACES + hashed[d:], minlength=UNITS * PLACES)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"i": at.astype(np.int32), "n": total[at].astype(float)})
 

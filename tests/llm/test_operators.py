@@ -195,6 +195,23 @@ def test_lm(spark, odd):
     assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-5)
 
 
+def test_lm_history_and_company(spark):
+    """A word four places back changes the features, and classes see the company within two places."""
+    u = np.arange(20, 40, dtype=np.int32)
+    for d in (1, 2, 3, 4):
+        other = u.copy()
+        other[10 - d] = 5
+        assert (lm.features(u, np.array([10])) != lm.features(other, np.array([10]))).any()
+    assert lm.CLASSES >= 24
+    rows = lm.with_held(spark.createDataFrame([(None, "a b c")], "doc_id long, text string"))
+    frequent = lm.Ranked(spark, [(b"a", 1), (b"b", 1), (b"c", 1), (lm.END, 1)])
+    profile = lm.company(rows, frequent)
+    units = lm.Words(frequent.value).units([b"a", b"b", b"c", lm.END]).astype(np.int64)
+    place = [int((x * 2654435761 >> 7) % lm.PLACES) for x in [*units, lm.BEGIN_UNIT]]
+    want = Counter([place[1], place[2], place[4], place[4]])
+    assert {i: int(n) for i, n in enumerate(profile[units[0]]) if n} == want
+
+
 def test_html(spark):
     def page(body):
         return f"<html><head><title>t</title></head><body>{body}</body></html>"
