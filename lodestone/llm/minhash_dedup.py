@@ -12,8 +12,9 @@ verified against the centre, and again only nodes that this leaves in different
 other, in blocks.  So every pair of a family is verified or within one component, groups of any size are spread over
 tasks, and a group of near copies costs time in proportion to its size.
 
-Bands have 4 rows, 20 of them: a pair at similarity 0.85 shares no band with probability 4e-7.  Signatures agree enough
-if at least AGREE of 77 coordinates (one byte kept of each) do; a pair at 0.85 fails that with probability 1e-8.
+Bands have 4 rows.  Their number follows from the threshold, such that a pair at it shares no band with a probability of
+at most MISS: 28 bands for 0.80, 20 for 0.85.  Signatures agree enough if so many of 77 coordinates (one byte kept of
+each) do that a pair at the threshold fails with a probability of at most FAIL: 40 for 0.80, 46 for 0.85.
 
 Cases: documents without words have an empty set and link with nothing; fewer words than a shingle form one shingle;
 a null doc_id links with nothing and is its own component; rows that repeat an id are documents of their own but one
@@ -23,6 +24,8 @@ node; texts of any length are read whole; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +36,35 @@ from pyspark.sql import functions as F
 from .common import lower_words, materialize, small_batches, small_or_shuffled, splitmix
 from .graph import connected_components
 
-SHINGLE, BANDS, ROWS = 5, 20, 4
+SHINGLE, ROWS = 5, 4
 #: Links hold where 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: Coordinates kept for the comparison before verification, 7 bytes to a 64-bit word, and how many must agree.
-WORDS, AGREE = 11, 46
+PERCENT = 80
+#: Coordinates kept for the comparison before verification, 7 bytes to a 64-bit word.
+WORDS = 11
+#: Probabilities that a pair at the threshold shares no band, and that too few of its coordinates agree.
+MISS, FAIL = 5e-7, 2e-8
 #: Rows of a block; larger groups are compared in pairs of blocks.
 BLOCK = 1024
 
 
+@functools.cache
+def bands_for(percent: int) -> int:
+    """Bands for links at `percent`; never fewer than the kept coordinates need."""
+    shared = (percent / 100) ** ROWS
+    return max(math.ceil(7 * WORDS / ROWS), math.ceil(math.log(MISS) / math.log1p(-shared)) if shared < 1 else 1)
+
+
+@functools.cache
+def agree_for(percent: int) -> int:
+    """How many of the kept coordinates must agree: the most that a pair at `percent` reaches but for FAIL."""
+    n, p, below = 7 * WORDS, percent / 100, 0.0
+    for k in range(n):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > FAIL:
+            return k
+    return n
+
+
 class Shingler:
     """Sets of 64-bit shingle hashes, with a bounded cache of word hashes."""
 
@@ -78,21 +101,19 @@ def _mix32(x: np.ndarray, a: int, b: int) -> np.ndarray:
     return x
 
 
-_SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
-
-
-def signature(elements: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS coordinates: the minimum over the set of pi(sigma(x) - k) for each shift k."""
+def signature(elements: np.ndarray, bands: int) -> np.ndarray:
+    """bands * ROWS coordinates: the minimum over the set of pi(sigma(x) - k) for each shift k."""
     scattered = _mix32((elements >> np.uint64(32)).astype(np.uint32) ^ elements.astype(np.uint32), 0x7FEB352D, 0x846CA68B)
-    low = np.full(len(_SHIFTS), 0xFFFFFFFF, np.uint32)
+    shifts = np.arange(bands * ROWS, dtype=np.uint32)[:, None]
+    low = np.full(len(shifts), 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(scattered), 1024):
-        low = np.minimum(low, _mix32(scattered[None, lo : lo + 1024] - _SHIFTS, 0x21F0AAAD, 0xD35A2D97).min(axis=1))
+        low = np.minimum(low, _mix32(scattered[None, lo : lo + 1024] - shifts, 0x21F0AAAD, 0xD35A2D97).min(axis=1))
     return low
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    parts = sig.reshape(-1, ROWS).astype(np.uint64)
+    out = np.arange(1, len(parts) + 1, dtype=np.uint64)
     for k in range(ROWS):
         out = splitmix(out ^ parts[:, k])
     return out.view(np.int64)
@@ -127,8 +148,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, k1, k2 (the set's key), bands, marks."""
+    n_bands = bands_for(percent)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -136,7 +158,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 elements = shingler.shingles(text)
-                sig = signature(elements)
+                sig = signature(elements, n_bands)
                 rows.append((len(elements), *set_key(elements), band_keys(sig) if len(elements) else np.zeros(0, np.int64), coordinate_bytes(sig)))
             out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "marks"])
             out.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
@@ -211,7 +233,7 @@ def _candidates(g: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
     same = np.zeros((len(first), len(second)), np.uint8)
     for c in range(marks.shape[1]):
         same += marks[first, c][:, None] == marks[second, c][None, :]
-    fits = (same >= AGREE) & (100 * np.minimum(n[first][:, None], n[second][None, :]) >= percent * np.maximum(n[first][:, None], n[second][None, :]))
+    fits = (same >= agree_for(percent)) & (100 * np.minimum(n[first][:, None], n[second][None, :]) >= percent * np.maximum(n[first][:, None], n[second][None, :]))
     if g["kind"].iloc[0] == 1:
         fits &= first[:, None] < second[None, :]
         if own.min() != own.max():
@@ -224,7 +246,7 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
     """(node, component): nodes joined by agreeing signatures of one bucket, directly or in steps."""
     centre = F.max(F.struct(F.col("size").alias("w"), F.col("node").alias("b"), F.col("n").alias("cn"), F.col("marks").alias("cmarks"))).alias("c")
     centres = members.groupBy("bucket").agg(centre).select("bucket", "c.b", "c.cn", "c.cmarks")
-    near = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (agreeing("marks", "cmarks") >= AGREE)
+    near = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (agreeing("marks", "cmarks") >= agree_for(percent))
     stars = members.join(centres, "bucket").select(F.col("bucket").alias("key"), "node", "n", "marks", "b", (near | (F.col("node") == F.col("b"))).alias("main"))
     stars = materialize(stars, "minhash-stars")
 
@@ -316,7 +338,7 @@ def _star_links(rows: DataFrame, percent: int) -> DataFrame:
 def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(sketches with their class's node, (node, component) of the linked nodes)."""
     small_batches(docs.sparkSession)
-    rows = materialize(sketches(docs), "minhash-rows")
+    rows = materialize(sketches(docs, percent), "minhash-rows")
     own = F.first(F.struct("bands", "marks", F.col("n_shingles").alias("n"))).alias("own")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), own)
     classes = materialize(classes.select("k1", "k2", "node", "own.*"), "minhash-classes")

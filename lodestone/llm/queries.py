@@ -50,7 +50,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.find_near_copies(_table(spark, sf_dir, "documents"))
+    return minhash_dedup.find_near_copies(_table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

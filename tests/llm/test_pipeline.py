@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import exact_dedup, minhash_dedup, mixing, quality
+from lodestone.llm.queries import QUERIES
 
 
 def test_stages_agree_with_their_operators(spark):
@@ -21,3 +24,26 @@ def test_stages_agree_with_their_operators(spark):
     last = corpus_pipeline.run(spark, sf)
     per_row = last.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).join(fourth.groupBy("doc_id").count(), "doc_id", "full_outer").collect()
     assert all(r["n"] == r["t"] * r["count"] for r in per_row)
+
+
+def test_near_stage_equals_brute_force_at_four_fifths(spark, tmp_path):
+    """Texts that share five-word shingles at 0.80 or more are one group in the pipeline; op10 keeps its 0.85."""
+    random.seed(11)
+    rows = []
+    for g in range(30):  # a text, and copies with one to six words replaced, far apart: 0.95, 0.90, 0.86, 0.81, 0.77, 0.73
+        base = [f"g{g}w{i}" for i in range(200)]
+        rows.append((10 * g, " ".join(base)))
+        changed = {10 + 30 * k for k in range(1 + g % 6)}
+        rows.append((10 * g + 1, " ".join(f"new{g}" if i in changed else w for i, w in enumerate(base))))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+
+    def kept(percent):
+        return sorted(i for i in sets if i % 10 == 0 or 100 * len(sets[i] & sets[i - 1]) < percent * len(sets[i] | sets[i - 1]))
+
+    assert len(kept(85)) - len(kept(80)) == 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == kept(80)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    op10 = QUERIES["op10_minhash_dedup"](spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in op10.where("kept").collect()) == kept(85)
