@@ -5,7 +5,7 @@ their elements and by words of their class and id; an article or main element is
 inside a container is kept unless marked.  Runs outside containers that the host repeats are boilerplate: the
 token streams of what lies there, menus and footers included, are joined for the pages of a host, and a suffix array with its
 longest common prefixes finds substrings of at least RUN tokens that stand on at least PAGES distinct pages.  On pages
-without a container the tokens they cover are removed and unique runs are kept, also in blocks that only their class
+without a container the tokens they cover are removed and unique runs of any length are kept, also in blocks that only their class
 marks.
 
 A host's distinct streams are dealt over shards of about SHARD by a hash of their text, so that a host of any size is
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_or_shuffled, splitmix
 
-RUN, PAGES, SHARD, SHORT = 8, 3, 512, 3
+RUN, PAGES, SHARD = 8, 3, 512
 
 #: Elements whose text is no text of the page, and elements that stand around the main text.
 DROPPED = frozenset("script style noscript template head title iframe object embed svg canvas video audio map".split())
@@ -216,18 +216,9 @@ def cover_of(tokens: list[str], wide: np.ndarray, run: int = RUN) -> np.ndarray:
     return np.cumsum(marks)[:-1] > 0
 
 
-def unique_runs(tokens: list[str], cover: np.ndarray, short: int = SHORT) -> list[str]:
-    """Tokens outside the covered runs; fewer than `short` of them beside a covered run go with it (years, numbers)."""
-    out: list[str] = []
-    i, n = 0, len(tokens)
-    while i < n:
-        j = i
-        while j < n and cover[j] == cover[i]:
-            j += 1
-        if not cover[i] and not (j - i < short and (i > 0 or j < n)):
-            out += tokens[i:j]
-        i = j
-    return out
+def unique_runs(tokens: list[str], cover: np.ndarray) -> list[str]:
+    """Tokens outside the covered runs, however few stand together."""
+    return [t for t, gone in zip(tokens, cover.tolist(), strict=True) if not gone]
 
 
 def _host(url):

@@ -224,6 +224,17 @@ def test_html(spark):
     assert all(out[i] == f"story number {i} tells of a{i} b{i} c{i}" for i in range(5))
 
 
+def test_html_keeps_short_unique_runs(spark):
+    """Without a container, one or two words beside menus or repeated runs are text of the page."""
+    repeated = "these ten words stand on every single page of host"
+    bodies = ["<nav>Home</nav><p>Hello world</p>", "<nav>Home</nav><h1>Breaking News</h1><aside>more</aside><p>Some longer text of a story</p>", "<p>Alone</p><footer>f</footer>"]
+    bodies += [f"<div>{repeated}</div><p>word{i}</p><div>{repeated}</div>" for i in range(4)]
+    rows = [(i, "http://h.w/", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0] == "Hello world" and out[1] == "Breaking News Some longer text of a story" and out[2] == "Alone"
+    assert all(out[3 + i] == f"word{i}" for i in range(4))
+
+
 def test_html_shards_add_up(spark, monkeypatch):
     """A run on just three pages of a host is found whether the host is one shard or many; equal pages count once."""
     body = "<html><body><div>{}</div><div>{}</div></body></html>"
