@@ -40,8 +40,8 @@ def frequent_pre_tokens(docs: DataFrame, path: str) -> dict[str, int]:
         tokenizer, counts = cached(path), Counter()
         for batch in batches:
             for text in batch["text"]:
-                if text and tokenizer.plain(text):
-                    pieces = tokenizer.pre_tokens(text)
+                pieces = tokenizer.pre_tokens(text) if text else None
+                if pieces:
                     counts.update(pieces if max(map(len, pieces), default=0) <= LONGEST else [p for p in pieces if len(p) <= LONGEST])
             if len(counts) > 8 * SUMMARY_ENTRIES:
                 counts = _pruned(counts, 2 * SUMMARY_ENTRIES)
