@@ -20,12 +20,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset (tests on one machine)."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a temporary folder if all runs on one
+    machine (tests), else a folder in the warehouse, which is shared too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        key = id(spark.sparkContext)
-        base = _own.setdefault(key, "") or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        _own[key] = base
+        if spark.sparkContext.master.startswith("local"):
+            key = id(spark.sparkContext)
+            base = _own[key] = _own.get(key) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestone-work"
     return base.rstrip("/")
 
 
@@ -66,11 +69,12 @@ def remove(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
+        if spark.sparkContext._jsc is None:
             return
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001,S112  the session is ending; the folder's owner clears what is left
+            continue
 
 
 def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,6 +83,26 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= limit else df
 
 
+#: A key is hot if it has more than this share of all rows, and so many at least; so there are at most HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 1000, 10_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: str | list[str], weight: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows joined with facts, which has one narrow row for each key and says in `weight` how many of rows have it.  Few
+    facts are broadcast.  Otherwise the facts of hot keys are (HOT_SHARE of them at most), so that their rows stay where
+    they are, and the other rows meet theirs by a shuffle.  facts must be cheap to read again."""
+    n, total = facts.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if n <= limit:
+        return rows.join(F.broadcast(facts), on, how)
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot = facts.where(F.col(weight) > least)
+    if not hot.take(1):
+        return rows.join(facts, on, how)
+    keys = [on] if isinstance(on, str) else on
+    rest = rows.join(F.broadcast(hot.select(*keys)), on, "left_anti").join(facts.where(F.col(weight) <= least), on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mix, vectorised."""
     with np.errstate(over="ignore"):

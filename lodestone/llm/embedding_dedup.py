@@ -1,24 +1,30 @@
-"""Near-duplicate vectors by randomised-rotation binary codes with correction factors.
+"""Near-duplicate vectors by randomised-rotation binary codes with stored correction factors.
 
-A vector of unit length is turned by fixed random rotations; the signs of its coordinates are its binary code, and the
-inner product of the vector with its own code is its correction factor.  Code of one and vector of the other give an
-unbiased estimate of their inner product with a bound on its error; only pairs whose upper bound reaches the threshold
-are computed exactly, in double precision.
+A vector of unit length is turned by fixed random rotations; the signs of its turned coordinates are its code.  Two codes
+differ in a share of their bits that is, on average over rotations, the angle between the vectors over pi.  How many bits
+of a code a small angle flips depends on how many of the vector's own turned coordinates lie near zero; that ratio,
+against an average vector, is its correction factor.  With the factors of both vectors the number of differing bits gives
+an unbiased estimate of the angle at the threshold, so of the inner product there, and Bernstein's inequality bounds its
+error by the number of bits.  Codes (packed) and factors are written once.  Only pairs whose estimate comes within the
+bound of the threshold are computed exactly, in double precision, and only their vectors are read for that.
 
 Candidates come from the same codes: bits are grouped into tables, and vectors of one label that agree in all bits of a
-table meet in a bucket.  The bits of a table follow the size of the label, the number of tables follows from the bits so
-that a pair at the threshold is missed with a probability of MISS at most.  Equal vectors are one class before that, so
-a vector that is repeated in a third of all rows is one row.  Buckets above BLOCK rows are divided into blocks that are
-compared in pairs of blocks.  A pair that meets in several tables counts in the first.  A block gives numbers of links
-and edges of a forest, never all its pairs.
+table meet in a bucket.  The bits of a table follow the size of the label, so that unlike vectors rarely meet; the number
+of tables follows from the bits, so that a pair at the threshold is missed with a probability of MISS at most.  Equal
+vectors are one class before that, so a vector that is repeated in a third of all rows is one row.  Thin rows (bucket,
+node) find the buckets with company; codes travel to those alone.  Buckets above BLOCK rows are divided into blocks that
+are compared in pairs of blocks.  A pair that meets in several tables counts in the first.  A block gives numbers of
+links and edges of a forest, never all its pairs.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with
 nothing; vectors of different lengths never link; rows that repeat count as vectors of their own; a null vec_id counts
-as a vector but is not the id of a component; an empty table gives an empty result; extra columns are ignored.
+as a vector, also where all its equals have none, but is not the id of a component; labels may have any type; vectors of
+any length are read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,168 +33,210 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_shuffled
+from .common import materialize, small_or_shuffled, splitmix, spread_join
 from .graph import connected_components
 
-THRESHOLD, MISS, BLOCK = 0.98, 1e-6, 2048
-#: Width of the confidence bound in standard errors.
-SIGMAS = 6.0
+THRESHOLD, MISS, BLOCK = 0.98, 1e-6, 512
+#: Bits of a code at least, and the probability with which the bound may fail for a pair at the threshold.
+CODE_BITS, FAIL = 512, 1e-7
 SEED = 20_240_501
 
 
+@functools.lru_cache(8)
 def rotations(dim: int, bits: int) -> np.ndarray:
-    """dim x (m * dim) random orthonormal blocks, with m * dim >= bits."""
+    """dim x bits: columns of random orthonormal blocks."""
     rng, blocks = np.random.default_rng(SEED + dim), []
     while sum(b.shape[1] for b in blocks) < bits:
         q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
         blocks.append(q * np.sign(np.diag(r)))
-    return np.concatenate(blocks, axis=1)
+    return np.concatenate(blocks, axis=1)[:, :bits]
 
 
-def plan_tables(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a table, number of tables) for n vectors of a label."""
-    bits = int(min(24, max(8, math.ceil(math.log2(max(n, 1) / 4 + 1)))))
+def plan_tables(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int, int]:
+    """(bits of a table, number of tables, bits of a code) for n vectors of a label."""
+    bits = max(8, math.ceil(math.log2(max(n, 1))) + 3)
     agree = 1 - math.acos(threshold) / math.pi
-    return bits, math.ceil(math.log(miss) / math.log(1 - agree**bits))
+    tables = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
+    return bits, tables, -(-max(CODE_BITS, bits * tables) // 64) * 64
 
 
-class Codes:
-    """Binary codes of unit vectors, and their correction factors."""
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    """Of x >= 0, by the approximation 26.2.17 of Abramowitz and Stegun (error below 1e-7)."""
+    t = 1 / (1 + 0.2316419 * x)
+    tail = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return 1 - tail
 
-    def __init__(self, unit: np.ndarray, turn: np.ndarray) -> None:
-        dim = unit.shape[1]
-        m = turn.shape[1] // dim
-        self.turned = unit @ turn / math.sqrt(m)  # unit length again
-        self.bits = self.turned > 0
-        scale = 1 / math.sqrt(turn.shape[1])
-        self.code = np.where(self.bits, scale, -scale).astype(np.float32)
-        self.factor = (self.turned * self.code).sum(axis=1)
-        self.error = SIGMAS * np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor / math.sqrt(max(1, dim - 1))
 
+def encode(unit: np.ndarray, bits: int, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(codes as rows of 64-bit words, correction factors) of unit vectors."""
+    dim = unit.shape[1]
+    turned = unit @ rotations(dim, bits)
+    words = np.packbits(turned > 0, axis=1, bitorder="little").view("<u8")
+    angle = math.acos(threshold)
+    # Of a vector at that angle, a coordinate is normal about cos * x with the deviation sin * sqrt((1 - x^2) / (dim - 1)).
+    spread = math.tan(angle) * np.sqrt(np.maximum(1 - turned**2, 1e-12) / max(1, dim - 1))
+    flips = (1 - _normal_cdf(np.abs(turned) / spread)).mean(axis=1)
+    return words, (flips / (angle / math.pi)).astype(np.float32)
 
-def _buckets(bits: np.ndarray, n_bits: int, tables: int) -> np.ndarray:
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """len(a) x len(b): in how many bits codes differ."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+    return out
+
+
+def estimate(differ: np.ndarray, factor: np.ndarray, bits: int) -> np.ndarray:
+    """The inner product, from differing bits and the mean of the two factors."""
+    return np.cos(np.pi * differ / bits / factor)
+
+
+def most_differing(factor: np.ndarray, bits: int, threshold: float = THRESHOLD, fail: float = FAIL) -> np.ndarray:
+    """How many bits differ at most between vectors at the threshold, but for a probability of `fail` (Bernstein)."""
+    share = factor * (math.acos(threshold) / math.pi)
+    rare = -math.log(fail)
+    return bits * share + rare / 3 + np.sqrt((rare / 3) ** 2 + 2 * rare * bits * share * (1 - share))
+
+
+def buckets(words: np.ndarray, n_bits: int, tables: int) -> np.ndarray:
     """n x tables bucket numbers."""
-    weights = (1 << np.arange(n_bits, dtype=np.int64))
-    return np.stack([bits[:, t * n_bits : (t + 1) * n_bits] @ weights for t in range(tables)], axis=1)
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little", count=n_bits * tables)
+    return bits.reshape(len(words), tables, n_bits) @ (1 << np.arange(n_bits, dtype=np.int64))
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with their class's node, classes: node, label, unit vector, copies)."""
+    """(rows: vec_id, k1, k2; classes of equal vectors: node, k1, k2, label, embedding, first_id, copies)."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     zero = F.forall("embedding", lambda x: x == 0)
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & ~zero, F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = materialize(rows.withColumn("key", F.when(usable, F.xxhash64("label", "embedding"))), "vectors")
-    found = rows.where("key is not null").groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where("node is not null")
-    return rows, materialize(found, "vector-classes")
+    keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", usable.alias("usable"))
+    key = lambda salt: F.when(F.col("usable"), F.xxhash64(F.lit(salt), "label", "embedding"))
+    keyed = keyed.withColumn("k1", key(1)).withColumn("k2", key(2))
+    found = keyed.where("usable").groupBy("k1", "k2", "label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    found = materialize(found.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    return keyed.select("vec_id", "k1", "k2"), found
+
+
+def codes_of(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The written codes: node, size (vectors of the label and length), code, factor, and the bucket of each table."""
+    space = F.xxhash64("label", F.size("embedding")).alias("space")
+    sizes = found.groupBy(space).agg(F.count("*").alias("size"))
+    rows = found.select("node", space, "embedding").join(small_or_shuffled(sizes), "space")
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (space, size), part in batch.groupby(["space", "size"], sort=False):
+                n_bits, tables, bits = plan_tables(size, threshold)
+                words, factors = encode(unit_vectors(np.array(part["embedding"].tolist(), float)), bits, threshold)
+                with np.errstate(over="ignore"):
+                    tab = splitmix(np.uint64(int(space) % (1 << 64)) ^ np.arange(1, tables + 1, dtype=np.uint64))
+                groups = splitmix(tab[None, :] ^ splitmix(buckets(words, n_bits, tables).astype(np.uint64))).view(np.int64)
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "size": size, "code": [w.tobytes() for w in words], "factor": factors, "groups": list(groups)})
+
+    return materialize(rows.mapInPandas(coded, "node long, size long, code binary, factor float, groups array<long>"), "vector-codes")
+
+
+#: The columns of a row in a block: grp is the block or pair of blocks, tab the table whose bucket it divides.
+PLACED = "grp long, tab int, own int, first int, second int, node long, size long, code binary, factor float"
+
+
+def in_blocks(codes: DataFrame) -> DataFrame:
+    """Codes of the nodes that have company, once for each bucket and pair of blocks in it."""
+    thin = codes.select("node", F.posexplode("groups").alias("tab", "bucket"))
+    busy = materialize(thin.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "vector-busy")
+    met = spread_join(thin, busy, "bucket", "members").groupBy("node").agg(F.collect_list(F.struct("tab", "bucket", "members")).alias("met"))  # at most one a table
+    rows = codes.drop("groups").join(met, "node").withColumn("m", F.explode("met")).withColumn("n_blocks", F.ceil(F.col("m.members") / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
+    return rows.withColumn("grp", F.xxhash64("m.bucket", "first", "second")).withColumn("tab", F.col("m.tab")).select(*[c.split()[0] for c in PLACED.split(", ")])
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows that come sorted by grp."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        keys = batch["grp"].to_numpy()
+        cuts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi - lo > 1:
+                yield batch.iloc[lo:hi]
+        rest = batch.iloc[cuts[-1] :] if len(batch) else None
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def close_pairs(g: pd.DataFrame, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) in a block of pairs that meet here first and whose estimate comes within the bound."""
+    n = len(g)
+    size, tab = int(g["size"].iloc[0]), int(g["tab"].iloc[0])
+    n_bits, tables, bits = plan_tables(size, threshold)
+    same = ((g["size"] == size) & (g["tab"] == tab)).to_numpy() & (g["code"].str.len() == bits // 8).to_numpy()
+    if not same.all():  # a hash brought two buckets together
+        at = np.flatnonzero(same)
+        parts = [(x[i], x[j]) for x, (i, j) in ((x, close_pairs(g.iloc[x], threshold)) for x in (at, np.flatnonzero(~same)) if len(x) > 1)]
+        return (np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])) if parts else (at[:0], at[:0])
+    words = np.frombuffer(b"".join(g["code"]), "<u8").reshape(n, -1)
+    factor, own = g["factor"].to_numpy(np.float64), g["own"].to_numpy()
+    maybe = differing(words, words) <= most_differing((factor[:, None] + factor[None, :]) / 2, bits, threshold)
+    maybe &= np.triu(np.ones((n, n), bool), 1)
+    if g["first"].iloc[0] != g["second"].iloc[0]:  # in a pair of blocks only rows from either are compared
+        maybe &= own[:, None] != own[None, :]
+    i, j = np.nonzero(maybe)
+    if len(i):
+        met = buckets(words, n_bits, tables)[:, : tab + 1]
+        new = met[i, tab] == met[j, tab]
+        for t in range(tab):
+            new &= met[i, t] != met[j, t]
+        i, j = i[new], j[new]
+    return i, j
 
 
 def link_blocks(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (node, links, root): links found in one bucket, and an edge to the smallest node joined with it there."""
-    sizes = found.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("size"))
-    sized = found.withColumn("dim", F.size("embedding")).join(small_or_shuffled(sizes), ["label", "dim"])
+    names = [c.split()[0] for c in PLACED.split(", ")]
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for (_, dim, size), part in batch.groupby(["label", "dim", "size"], sort=False):
-                n_bits, tables = plan_tables(size, threshold)
-                x = np.array(part["embedding"].tolist(), float)
-                unit = _unit(x)
-                codes = _buckets(Codes(unit, rotations(dim, n_bits * tables)).bits, n_bits, tables)
-                for t in range(tables):
-                    yield pd.DataFrame({"label": part["label"], "dim": dim, "size": size, "tab": t, "bucket": codes[:, t], "node": part["node"], "copies": part["copies"], "embedding": part["embedding"]})
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches):
+            i, j = close_pairs(g, threshold)
+            if len(i):
+                yield g.iloc[np.unique(np.concatenate([i, j]))]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by bucket (and block pair); a bucket may go on in the next batch."""
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            groups = batch["group"].to_numpy()
-            cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
-            if not len(cuts):
-                rest = batch
+        for g in _groups(batches):
+            i, j = close_pairs(g, threshold)
+            label, vectors = g["label"].to_numpy(), g["embedding"].to_numpy()
+            alike = np.array([len(vectors[a]) == len(vectors[b]) and label[a] == label[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            i, j = i[alike], j[alike]
+            linked = np.zeros(len(i), bool)
+            for lo in range(0, len(i), 16_384):
+                a, b = (unit_vectors(np.array(vectors[x[lo : lo + 16_384]].tolist(), float)) for x in (i, j))
+                linked[lo : lo + 16_384] = (a * b).sum(axis=1) >= threshold
+            i, j = i[linked], j[linked]
+            if not len(i):
                 continue
-            rest = batch.iloc[cuts[-1] :]
-            yield from _compared(batch.iloc[: cuts[-1]], threshold)
-        if rest is not None:
-            yield from _compared(rest, threshold)
-
-    rows = sized.select("label", "dim", "size", "node", "copies", "embedding").mapInPandas(spread, "label int, dim int, size long, tab int, bucket long, node long, copies long, embedding array<double>")
-    rows = materialize(rows.withColumn("group", F.xxhash64("label", "dim", "tab", "bucket")), "vector-buckets")
-    busy = materialize(rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"), "vector-busy")
-    # A bucket above BLOCK rows is divided: a row goes to every pair of blocks that holds its own.
-    n_blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    rows = rows.join(small_or_shuffled(busy), "group").withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    rows = rows.withColumn("other", other).withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
-    rows = rows.withColumn("group", F.xxhash64("group", "first", "second"))
-    placed = rows.repartition("group").sortWithinPartitions("group", "node")
-    return placed.select("group", "label", "dim", "size", "tab", "bucket", "own", "first", "second", "node", "copies", "embedding").mapInPandas(compare, "node long, links long, root long")
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-
-
-def _compared(rows: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
-    nodes, links, roots = [], [], []
-    groups = rows["group"].to_numpy()
-    cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
-    starts, ends = np.append(0, cuts), np.append(cuts, len(groups))
-    # All codes of the batch at once, by label and length.
-    whole = np.empty(len(rows), object)
-    for (_, dim, size), at in rows.reset_index(drop=True).groupby(["label", "dim", "size"], sort=False).groups.items():
-        n_bits, tables = plan_tables(size, threshold)
-        unit = _unit(np.array(rows["embedding"].iloc[at].tolist(), float))
-        codes = Codes(unit, rotations(dim, n_bits * tables))
-        buckets = _buckets(codes.bits, n_bits, tables)
-        for place, i in enumerate(at):
-            whole[i] = (codes, buckets, unit, place)
-    meta = {c: rows[c].to_numpy() for c in ("tab", "own", "first", "second", "node", "copies")}
-    for lo, hi in zip(starts, ends, strict=True):
-        if hi - lo < 2:
-            continue
-        # A hash may bring two buckets together: only rows of one label, length, table and bucket are compared.
-        codes, buckets, unit, _ = whole[lo]
-        same = np.array([whole[i][0] is codes for i in range(lo, hi)]) & (meta["tab"][lo:hi] == meta["tab"][lo])
-        at = np.arange(lo, hi)[same]
-        place = np.array([whole[i][3] for i in at])
-        tab = meta["tab"][lo]
-        first, second, own = meta["first"][at], meta["second"][at], meta["own"][at]
-        estimate = (codes.code[place] @ codes.turned[place].T) / codes.factor[place][:, None]
-        maybe = estimate + codes.error[place][:, None] >= threshold
-        maybe |= maybe.T
-        maybe &= np.triu(np.ones(maybe.shape, bool), 1)
-        maybe &= buckets[place, tab][:, None] == buckets[place, tab][None, :]
-        # In a pair of different blocks only rows from either are compared.
-        maybe &= (first == second)[:, None] | (own[:, None] != own[None, :])
-        i, j = np.nonzero(maybe)
-        if not len(i):
-            continue
-        exact = np.einsum("ij,ij->i", unit[place[i]], unit[place[j]]) >= threshold
-        i, j = i[exact], j[exact]
-        if tab and len(i):
-            new = ~(buckets[place[i], :tab] == buckets[place[j], :tab]).any(axis=1)
-            i, j = i[new], j[new]
-        if not len(i):
-            continue
-        node, copies = meta["node"][at], meta["copies"][at]
-        degree = np.bincount(i, copies[j], len(at)) + np.bincount(j, copies[i], len(at))
-        root = np.arange(len(at))
-        changed = True
-        while changed:  # the smallest place joined with each row
-            before = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
-            root = root[root]
-            changed = bool((before != root).any())
-        some = np.flatnonzero(degree)
-        nodes.append(node[some])
-        links.append(degree[some].astype(np.int64))
-        roots.append(node[root[some]])
-    if nodes:
-        yield pd.DataFrame({"node": np.concatenate(nodes), "links": np.concatenate(links), "root": np.concatenate(roots)})
+            node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
+            degree = np.bincount(i, copies[j], len(g)) + np.bincount(j, copies[i], len(g))
+            root, changed = np.arange(len(g)), True
+            while changed:  # the smallest place joined with each row
+                before = root.copy()
+                np.minimum.at(root, i, root[j])
+                np.minimum.at(root, j, root[i])
+                root = root[root]
+                changed = bool((before != root).any())
+            some = np.flatnonzero(degree)
+            yield pd.DataFrame({"node": node[some], "links": degree[some].astype(np.int64), "root": node[root[some]]})
+
+    placed = in_blocks(codes_of(found, threshold)).repartition("grp").sortWithinPartitions("grp", "node")
+    close = materialize(placed.mapInPandas(screen, PLACED), "vector-close")
+    whole = close.join(found.select("node", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"), "copies"), "node")
+    return whole.repartition("grp").sortWithinPartitions("grp", "node").select(*names, "label", "embedding", "copies").mapInPandas(compare, "node long, links long, root long")
 
 
 def find_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -197,8 +245,10 @@ def find_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     blocks = materialize(link_blocks(found, threshold), "vector-links")
     degrees = blocks.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(blocks.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    known = found.select("key", "label", "embedding", "node", "copies").join(degrees, "node", "left").join(comps, "node", "left")
-    known = known.select("key", F.col("label").alias("l"), F.col("embedding").alias("e"), "node", "copies", "links", "component")
-    out = rows.join(known, (rows["key"] == known["key"]) & (rows["label"] == known["l"]) & (rows["embedding"] == known["e"]), "left")
-    n_links = F.when(F.col("node").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long")
-    return out.select("vec_id", n_links.alias("n_links"), F.coalesce("component", "node", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    ids = found.select("node", "first_id")
+    firsts = comps.join(ids, "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = found.select("k1", "k2", "node", "first_id", "copies").join(degrees, "node", "left").join(comps.join(firsts, "component"), "node", "left")
+    known = materialize(known.select("k1", "k2", "copies", "links", F.coalesce("component_id", "first_id").alias("component_id")), "vector-known")
+    out = spread_join(rows, known, ["k1", "k2"], "copies", "left")
+    n_links = F.when(F.col("copies").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long")
+    return out.select("vec_id", n_links.alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

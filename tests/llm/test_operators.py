@@ -157,20 +157,6 @@ def test_minhash_equals_brute_force(spark, odd):
     assert minhash_dedup.drop_near_copies(odd).columns == odd.columns
 
 
-def test_embeddings_equal_brute_force(spark):
-    r = np.random.default_rng(3)
-    base = r.standard_normal((40, 16))
-    rows = [(i, [float(x) for x in base[i % 40] + 0.05 * r.standard_normal(16)], i % 3) for i in range(300)]
-    rows += [(900 + i, rows[0][1], 0) for i in range(5)] + [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [1.0, None], 0), (1004, rows[0][1], None), (1005, rows[0][1][:8], 0), (None, rows[0][1], 0)]
-    out = {x["vec_id"]: x for x in embedding_dedup.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    good = [x for x in rows if x[0] is not None and x[0] < 1000 or x[0] is None]
-    for vec_id, v, label in good:
-        n = sum(1 for w in good if w[2] == label and np.dot(v, w[1]) / np.linalg.norm(v) / np.linalg.norm(w[1]) >= 0.98) - 1
-        assert out[vec_id]["n_links"] == n
-    assert all(out[i]["n_links"] == 0 and out[i]["component_id"] == i for i in range(1000, 1006))
-    assert out[904]["component_id"] == 0 and not out[904]["kept"] and out[0]["kept"]
-
-
 def test_quality(spark, odd, labels):
     rows = quality.score(odd, labels).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
