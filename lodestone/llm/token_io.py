@@ -58,13 +58,14 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         over = np.concatenate([[0], np.cumsum(width > w, dtype=np.int32)])
         fits = np.flatnonzero(over[k:] == over[:-k])
         best[fits] = s
-    jump, chosen = np.array(COUNTS)[best].tolist(), best.tolist()
-    starts, selectors, i = [], [], 0
+    jump = np.array(COUNTS)[best].tolist()
+    starts, i = [], 0
+    add = starts.append
     while i < n:
-        starts.append(i)
-        selectors.append(chosen[i])
+        add(i)
         i += jump[i]
-    starts_a, sel = np.array(starts, np.int64), np.array(selectors, np.int64)
+    starts_a = np.array(starts, np.int64)
+    sel = best[starts_a].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in range(2, 16):
         here = np.flatnonzero(sel == s)

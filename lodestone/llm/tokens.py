@@ -54,8 +54,7 @@ def _marks():
 def _beyond(folds: bool):
     """Finds a character that the faster expression is not for; if it folds, one whose lower case is none of them too."""
     latin = re.compile(f"[{_LATIN}]+").fullmatch
-    odd = "".join(c for c in map(chr, range(0x250)) if latin(c) and not latin(c.lower())) if folds else ""
-    return re.compile(f"[^{_LATIN}]" + (f"|[{odd}]" if odd else "")).search
+    return re.compile(f"[^{_char_class(lambda c: c < chr(0x250) and latin(c) and (not folds or latin(c.lower())))}]").search
 
 
 #: Entries of a worker's cache, of about 200 bytes each, and the longest pre-token that is kept in any table.
@@ -76,18 +75,23 @@ def byte_letters() -> dict[int, str]:
 
 
 class Cache(dict):
-    """Fills itself from a function, and is emptied when full. Long keys are not kept."""
+    """Fills itself from a function. A full table becomes the older one, from which what is used again moves back, so that
+    frequent keys stay; 1.5 * entries are held at most. Long keys are not kept."""
 
     def __init__(self, find, entries: int = CACHE_ENTRIES) -> None:
         super().__init__()
-        self.find, self.entries = find, entries
+        self.find, self.entries, self.older = find, entries, {}
 
     def __missing__(self, key):
-        if len(key) > LONGEST:
-            return self.find(key)
-        if len(self) >= self.entries:
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.find(key)
+            if len(key) > LONGEST:
+                return value
+        if 4 * len(self) >= 3 * self.entries:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.find(key)
+        self[key] = value
         return value
 
 
