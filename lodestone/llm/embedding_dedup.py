@@ -157,45 +157,72 @@ def in_blocks(codes: DataFrame) -> DataFrame:
     return rows.withColumn("grp", F.xxhash64("m.bucket", "first", "second")).withColumn("tab", F.col("m.tab")).select(*[c.split()[0] for c in PLACED.split(", ")])
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole groups of rows that come sorted by grp."""
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows, which come sorted by grp, cut so that no group is divided."""
     rest = None
     for batch in batches:
         batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         keys = batch["grp"].to_numpy()
-        cuts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo > 1:
-                yield batch.iloc[lo:hi]
-        rest = batch.iloc[cuts[-1] :] if len(batch) else None
-    if rest is not None and len(rest) > 1:
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if len(cuts):
+            yield batch.iloc[: cuts[-1]]
+        rest = batch.iloc[cuts[-1] if len(cuts) else 0 :]
+    if rest is not None and len(rest):
         yield rest
 
 
-def close_pairs(g: pd.DataFrame, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) in a block of pairs that meet here first and whose estimate comes within the bound."""
-    n = len(g)
-    size, tab = int(g["size"].iloc[0]), int(g["tab"].iloc[0])
-    n_bits, tables, bits = plan_tables(size, threshold)
-    same = ((g["size"] == size) & (g["tab"] == tab)).to_numpy() & (g["code"].str.len() == bits // 8).to_numpy()
-    if not same.all():  # a hash brought two buckets together
-        at = np.flatnonzero(same)
-        parts = [(x[i], x[j]) for x, (i, j) in ((x, close_pairs(g.iloc[x], threshold)) for x in (at, np.flatnonzero(~same)) if len(x) > 1)]
-        return (np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])) if parts else (at[:0], at[:0])
-    words = np.frombuffer(b"".join(g["code"]), "<u8").reshape(n, -1)
-    factor, own = g["factor"].to_numpy(np.float64), g["own"].to_numpy()
-    maybe = differing(words, words) <= most_differing((factor[:, None] + factor[None, :]) / 2, bits, threshold)
-    maybe &= np.triu(np.ones((n, n), bool), 1)
-    if g["first"].iloc[0] != g["second"].iloc[0]:  # in a pair of blocks only rows from either are compared
-        maybe &= own[:, None] != own[None, :]
-    i, j = np.nonzero(maybe)
-    if len(i):
-        met = buckets(words, n_bits, tables)[:, : tab + 1]
-        new = met[i, tab] == met[j, tab]
-        for t in range(tab):
-            new &= met[i, t] != met[j, t]
-        i, j = i[new], j[new]
-    return i, j
+#: Groups of up to this many rows are compared together, by the distance of their rows.
+FEW = 48
+
+
+def _pairs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places (i < j) with equal, neighbouring values of a sorted array."""
+    i, j, at = [], [], np.arange(len(group))
+    for d in range(1, len(group)):
+        at = at[at + d < len(group)]
+        at = at[group[at] == group[at + d]]
+        if not len(at):
+            break
+        i.append(at)
+        j.append(at + d)
+    return (np.concatenate(i), np.concatenate(j)) if i else (at[:0], at[:0])
+
+
+def close_pairs(rows: pd.DataFrame, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in rows of whole groups, of pairs that meet in their group first and whose estimate comes within the
+    bound."""
+    grp, tab, own = (rows[c].to_numpy() for c in ("grp", "tab", "own"))
+    divided = (rows["first"] != rows["second"]).to_numpy()
+    factor, size = rows["factor"].to_numpy(np.float64), rows["size"].to_numpy()
+    for n in np.unique(size).tolist():
+        n_bits, tables, bits = plan_tables(n, threshold)
+        at = np.flatnonzero(size == n)  # a hash may bring buckets of several labels into one group
+        words = np.frombuffer(b"".join(rows["code"].iloc[at]), "<u8").reshape(len(at), -1)
+        met = buckets(words, n_bits, tables)
+        key = grp[at]
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(at)]])
+        lengths = np.diff(cuts)
+        few = np.flatnonzero(np.repeat(lengths <= FEW, lengths))
+        todo = [tuple(few[x] for x in _pairs(key[few]))]
+        todo += [(None, np.arange(cuts[g], cuts[g + 1])) for g in np.flatnonzero(lengths > FEW).tolist()]
+        for i, j in todo:
+            if i is None:  # one large group: all against all
+                differ = differing(words[j], words[j])
+                maybe = differ <= most_differing((factor[at[j]][:, None] + factor[at[j]][None, :]) / 2, bits, threshold)
+                i, j = (j[x] for x in np.nonzero(np.triu(maybe, 1)))
+            else:
+                differ = np.bitwise_count(words[i] ^ words[j]).sum(axis=1)
+                near = differ <= most_differing((factor[at[i]] + factor[at[j]]) / 2, bits, threshold)
+                i, j = i[near], j[near]
+            if not len(i):
+                continue
+            a, b = at[i], at[j]
+            good = (tab[a] == tab[b]) & (met[i, tab[a]] == met[j, tab[a]])
+            good &= ~divided[a] | (own[a] != own[b])  # in a pair of blocks only rows from either are compared
+            before = (met[i] == met[j]) & (np.arange(tables)[None, :] < tab[a][:, None])
+            good &= ~before.any(axis=1)
+            if good.any():
+                yield a[good], b[good]
 
 
 def link_blocks(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -203,35 +230,37 @@ def link_blocks(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     names = [c.split()[0] for c in PLACED.split(", ")]
 
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches):
-            i, j = close_pairs(g, threshold)
-            if len(i):
-                yield g.iloc[np.unique(np.concatenate([i, j]))]
+        for rows in _whole_groups(batches):
+            close = [np.unique(np.concatenate(p)) for p in close_pairs(rows, threshold)]
+            if close:
+                yield rows.iloc[np.unique(np.concatenate(close))]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches):
-            i, j = close_pairs(g, threshold)
-            label, vectors = g["label"].to_numpy(), g["embedding"].to_numpy()
-            alike = np.array([len(vectors[a]) == len(vectors[b]) and label[a] == label[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-            i, j = i[alike], j[alike]
-            linked = np.zeros(len(i), bool)
-            for lo in range(0, len(i), 16_384):
-                a, b = (unit_vectors(np.array(vectors[x[lo : lo + 16_384]].tolist(), float)) for x in (i, j))
-                linked[lo : lo + 16_384] = (a * b).sum(axis=1) >= threshold
-            i, j = i[linked], j[linked]
-            if not len(i):
-                continue
-            node, copies = g["node"].to_numpy(), g["copies"].to_numpy()
-            degree = np.bincount(i, copies[j], len(g)) + np.bincount(j, copies[i], len(g))
-            root, changed = np.arange(len(g)), True
-            while changed:  # the smallest place joined with each row
-                before = root.copy()
-                np.minimum.at(root, i, root[j])
-                np.minimum.at(root, j, root[i])
-                root = root[root]
-                changed = bool((before != root).any())
-            some = np.flatnonzero(degree)
-            yield pd.DataFrame({"node": node[some], "links": degree[some].astype(np.int64), "root": node[root[some]]})
+        for rows in _whole_groups(batches):
+            label, vectors = rows["label"].to_numpy(), rows["embedding"].to_numpy()
+            node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+            for i, j in close_pairs(rows, threshold):
+                alike = np.array([len(vectors[a]) == len(vectors[b]) and label[a] == label[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                i, j = i[alike], j[alike]
+                linked = np.zeros(len(i), bool)
+                for lo in range(0, len(i), 16_384):
+                    for dim in {len(vectors[x]) for x in i[lo : lo + 16_384].tolist()}:
+                        own = [x for x in range(lo, min(lo + 16_384, len(i))) if len(vectors[i[x]]) == dim]
+                        a, b = (unit_vectors(np.array(vectors[x[own]].tolist(), float)) for x in (i, j))
+                        linked[own] = (a * b).sum(axis=1) >= threshold
+                i, j = i[linked], j[linked]
+                if not len(i):
+                    continue
+                degree = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
+                root, changed = np.arange(len(rows)), True
+                while changed:  # the smallest place joined with each row
+                    before = root.copy()
+                    np.minimum.at(root, i, root[j])
+                    np.minimum.at(root, j, root[i])
+                    root = root[root]
+                    changed = bool((before != root).any())
+                some = np.flatnonzero(degree)
+                yield pd.DataFrame({"node": node[some], "links": degree[some].astype(np.int64), "root": node[root[some]]})
 
     placed = in_blocks(codes_of(found, threshold)).repartition("grp").sortWithinPartitions("grp", "node")
     close = materialize(placed.mapInPandas(screen, PLACED), "vector-close")
