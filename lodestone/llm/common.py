@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
@@ -85,18 +85,23 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROAD
 
 #: A key is hot if it has more than this share of all rows, and so many at least; so there are at most HOT_SHARE hot keys.
 HOT_SHARE, HOT_ROWS = 1000, 10_000
-
-
-def spread_join(rows: DataFrame, facts: DataFrame, on: str | list[str], weight: str, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """rows joined with facts, which has one narrow row for each key and says in `weight` how many of rows have it.  Few
-    facts are broadcast.  Otherwise the facts of hot keys are (HOT_SHARE of them at most), so that their rows stay where
-    they are, and the other rows meet theirs by a shuffle.  facts must be cheap to read again."""
-    n, total = facts.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
-    if n <= limit:
+#: Bytes of a broadcast table of rows of any width.
+BROADCAST_BYTES = 32 << 20
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: str | list[str], weight: str, how: str = "inner", width: Column | None = None) -> DataFrame:
+    """rows joined with facts, which has one row for each key and says in `weight` how many of rows have it; `width` is the
+    size of a row of facts in bytes.  Few facts are broadcast.  Otherwise the facts of hot keys are (HOT_SHARE of them at
+    most), so that their rows stay where they are, and the other rows meet theirs by a shuffle.  Nothing above
+    BROADCAST_BYTES is broadcast.  facts must be cheap to read again."""
+    size = F.coalesce(F.sum(F.lit(64) if width is None else width), F.lit(0))
+    held, total = facts.agg(size, F.coalesce(F.sum(weight), F.lit(0))).first()
+    if held <= BROADCAST_BYTES:
         return rows.join(F.broadcast(facts), on, how)
     least = max(HOT_ROWS, total // HOT_SHARE)
     hot = facts.where(F.col(weight) > least)
-    if not hot.take(1):
+    n, held = hot.agg(F.count("*"), size).first()
+    if not n or held > BROADCAST_BYTES:
         return rows.join(facts, on, how)
     keys = [on] if isinstance(on, str) else on
     rest = rows.join(F.broadcast(hot.select(*keys)), on, "left_anti").join(facts.where(F.col(weight) <= least), on, how)

@@ -21,68 +21,109 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, small_or_shuffled
+from .common import SPACE_CLASS, materialize, small_or_shuffled, spread_join
 
 #: Expected fingerprints in one merged range; the number of ranges follows the input.
 RANGE_ROWS = 250_000
+#: Fingerprints that a partition gathers before it makes a filter of them.
+PART_ROWS = 500_000
 
 
 class CountingQuotientFilter:
-    """Fingerprints of `bits` bits with counts. The quotient is the top q bits; remainders are sorted in each run."""
+    """Fingerprints of `bits` bits with counts.  The quotient is a fingerprint's top q bits and names its run; a run holds
+    the sorted remainders of its fingerprints.  occupied: the quotients that have a run; ends: where their runs end."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: int) -> None:
-        self.bits, self.keys, self.counts = bits, keys, counts
+    def __init__(self, bits: int, q: int, occupied: np.ndarray, ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray) -> None:
+        self.bits, self.q, self.occupied, self.ends, self.remainders, self.counts = bits, q, occupied, ends, remainders, counts
+
+    @staticmethod
+    def quotient_bits(n: int, bits: int) -> int:
+        """So many that three of four quotients have a fingerprint, of n."""
+        return max(1, min(bits - 1, int(np.ceil(np.log2(max(n, 1) / 0.75 + 1)))))
+
+    @classmethod
+    def of_sorted(cls, keys: np.ndarray, counts: np.ndarray, bits: int, q: int | None = None) -> CountingQuotientFilter:
+        """From sorted distinct fingerprints."""
+        q = cls.quotient_bits(len(keys), bits) if q is None else q
+        r = np.uint64(bits - q)
+        quotients = (keys >> r).astype(np.int64)
+        last = np.flatnonzero(np.append(quotients[1:] != quotients[:-1], True)) if len(keys) else np.zeros(0, np.int64)
+        return cls(bits, q, quotients[last], last + 1, keys & ((np.uint64(1) << r) - np.uint64(1)), counts.astype(np.uint64))
 
     @classmethod
     def build(cls, fingerprints: np.ndarray, bits: int = 64) -> CountingQuotientFilter:
         keys, counts = np.unique(fingerprints.astype(np.uint64), return_counts=True)
-        return cls(keys, counts.astype(np.uint64), bits)
+        return cls.of_sorted(keys, counts, bits)
+
+    def __len__(self) -> int:
+        return len(self.remainders)
+
+    def keys(self) -> np.ndarray:
+        """The fingerprints, in order: a remainder after the quotient of its run."""
+        runs = np.repeat(self.occupied.astype(np.uint64), np.diff(self.ends, prepend=0))
+        return (runs << np.uint64(self.bits - self.q)) | self.remainders
+
+    def resized(self, q: int) -> CountingQuotientFilter:
+        """The same fingerprints with q bits in the quotient: bits move between quotients and remainders, the order stays."""
+        return self if q == self.q else self.of_sorted(self.keys(), self.counts, self.bits, q)
+
+    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both filters' fingerprints, counts added: the remainders of a run are merged with those of the same run."""
+        q = self.quotient_bits(max(len(self), len(other)), self.bits)
+        a, b = self.resized(q), other.resized(q)
+        if len(a) < len(b):
+            a, b = b, a
+        if not len(b):
+            return a
+        mine, theirs = a.keys(), b.keys()
+        at = np.searchsorted(mine, theirs)  # the place of each remainder in the run of its quotient
+        here = at < len(mine)
+        here[here] = mine[at[here]] == theirs[here]
+        counts = a.counts.copy()
+        counts[at[here]] += b.counts[here]
+        new = ~here
+        return self.of_sorted(np.insert(mine, at[new], theirs[new]), np.insert(counts, at[new], b.counts[new]), self.bits)
 
     def to_bytes(self) -> bytes:
-        n = len(self.keys)
-        q = max(1, min(self.bits - 1, int(np.ceil(np.log2(max(n, 1) / 0.75 + 1)))))
-        r = self.bits - q
-        quotients = (self.keys >> np.uint64(r)).astype(np.int64)
-        remainders = self.keys & np.uint64((1 << r) - 1)
-        occupied = np.zeros(1 << q, bool)
-        occupied[quotients] = True
-        ends = np.append(quotients[1:] != quotients[:-1], True) if n else np.zeros(0, bool)
-        width = (r + 7) // 8
-        tails = remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        r = self.bits - self.q
+        occupied = np.zeros(1 << self.q, bool)
+        occupied[self.occupied] = True
+        closes = np.zeros(len(self), bool)
+        closes[self.ends - 1] = True
+        tails = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : (r + 7) // 8]
         more = self.counts > 1
-        return struct.pack("<QBB", n, q, self.bits) + np.packbits(occupied).tobytes() + np.packbits(ends).tobytes() + tails.tobytes() + np.packbits(more).tobytes() + self.counts[more].astype("<u8").tobytes()
+        head = struct.pack("<QBB", len(self), self.q, self.bits)
+        return head + np.packbits(occupied).tobytes() + np.packbits(closes).tobytes() + tails.tobytes() + np.packbits(more).tobytes() + self.counts[more].astype("<u8").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
         n, q, bits = struct.unpack_from("<QBB", data)
-        at, r = 10, bits - q
-        take = lambda size: np.frombuffer(data, np.uint8, size, at)
-        occupied = np.unpackbits(take(((1 << q) + 7) // 8), count=1 << q).astype(bool)
-        at += ((1 << q) + 7) // 8
-        ends = np.unpackbits(take((n + 7) // 8), count=n).astype(np.int64)
-        at += (n + 7) // 8
-        width = (r + 7) // 8
+        at, width = 10, (bits - q + 7) // 8
+
+        def take(size: int) -> np.ndarray:
+            nonlocal at
+            at += size
+            return np.frombuffer(data, np.uint8, size, at - size)
+
+        occupied = np.flatnonzero(np.unpackbits(take(((1 << q) + 7) // 8), count=1 << q))
+        ends = np.flatnonzero(np.unpackbits(take((n + 7) // 8), count=n)) + 1
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :width] = take(n * width).reshape(n, width)
-        at += n * width
         more = np.unpackbits(take((n + 7) // 8), count=n).astype(bool)
-        at += (n + 7) // 8
         counts = np.ones(n, np.uint64)
         counts[more] = np.frombuffer(data, "<u8", int(more.sum()), at)
-        runs = np.cumsum(ends) - ends
-        quotients = np.flatnonzero(occupied)[runs].astype(np.uint64)
-        return cls((quotients << np.uint64(r)) | wide.reshape(-1).view("<u8").astype(np.uint64), counts, bits)
-
-    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        keys = np.concatenate([self.keys, other.keys])
-        order = np.argsort(keys, kind="stable")  # a merge of two sorted runs
-        keys, counts = keys[order], np.concatenate([self.counts, other.counts])[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
-        return CountingQuotientFilter(keys[first], np.add.reduceat(counts, first) if len(keys) else counts, self.bits)
+        return cls(bits, q, occupied, ends, wide.reshape(-1).view("<u8").astype(np.uint64), counts)
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray]:
         more = self.counts > 1
-        return self.keys[more], self.counts[more]
+        return self.keys()[more], self.counts[more]
+
+
+def merged(parts: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+    """A balanced merge of at least one filter."""
+    while len(parts) > 1:
+        parts = [a.merge(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0]
 
 
 def normalised(text: Column) -> Column:
@@ -94,22 +135,27 @@ def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
     shard_bits = max(3, int(np.ceil(np.log2(max(1, n_rows / RANGE_ROWS)))))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = CountingQuotientFilter.build(np.zeros(0, np.uint64))
+        parts = [CountingQuotientFilter.build(np.zeros(0, np.uint64))]
+        held: list[np.ndarray] = []
         for batch in batches:
-            whole = whole.merge(CountingQuotientFilter.build(batch["fp"].to_numpy().view(np.uint64)))
-        shards = (whole.keys >> np.uint64(64 - shard_bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(shards)) + 1
-        for keys, counts in zip(np.split(whole.keys, cuts), np.split(whole.counts, cuts), strict=True):
-            if len(keys):
-                shard = int(keys[0] >> np.uint64(64 - shard_bits))
-                low = keys & np.uint64((1 << (64 - shard_bits)) - 1)
-                yield pd.DataFrame({"shard": [shard], "filter": [CountingQuotientFilter(low, counts, 64 - shard_bits).to_bytes()]})
+            held.append(batch["fp"].to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= PART_ROWS:
+                parts.append(CountingQuotientFilter.build(np.concatenate(held)))
+                held = []
+                while len(parts) > 2 and 2 * len(parts[-1]) >= len(parts[-2]):  # few filters, each twice the next: n log n in all
+                    parts[-2:] = [parts[-2].merge(parts[-1])]
+        if held:
+            parts.append(CountingQuotientFilter.build(np.concatenate(held)))
+        whole = merged(parts[::-1])
+        keys, counts = whole.keys(), whole.counts
+        cuts = np.flatnonzero(np.diff((keys >> np.uint64(64 - shard_bits)).astype(np.int64))) + 1
+        for own, n in zip(np.split(keys, cuts), np.split(counts, cuts), strict=True):
+            if len(own):
+                low = own & np.uint64((1 << (64 - shard_bits)) - 1)
+                yield pd.DataFrame({"shard": [int(own[0] >> np.uint64(64 - shard_bits))], "filter": [CountingQuotientFilter.of_sorted(low, n, 64 - shard_bits).to_bytes()]})
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        parts = [CountingQuotientFilter.from_bytes(x) for x in group["filter"]]
-        while len(parts) > 1:  # a balanced merge
-            parts = [a.merge(b) for a, b in zip(parts[::2], parts[1::2], strict=False)] + ([parts[-1]] if len(parts) % 2 else [])
-        keys, counts = parts[0].repeated()
+        keys, counts = merged([CountingQuotientFilter.from_bytes(x) for x in group["filter"]]).repeated()
         full = keys | np.uint64(int(key[0]) << (64 - shard_bits))
         return pd.DataFrame({"fp": full.view(np.int64), "n": counts.astype(np.int64)})
 
@@ -132,7 +178,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def find_copies(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     thin, groups = _classes(docs)
-    out = thin.select("doc_id", "sha").join(groups, "sha", "left")
+    out = spread_join(thin.select("doc_id", "sha"), groups, "sha", "group_size", "left")
     out = out.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "sha")
     keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     if _repeats(thin, groups):
@@ -146,14 +192,14 @@ def find_copies(docs: DataFrame) -> DataFrame:
 
 def _repeats(thin: DataFrame, groups: DataFrame) -> bool:
     """Whether any group's kept id stands in more than one of its rows."""
-    keepers = thin.join(groups, "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keepers = spread_join(thin, groups, "sha", "group_size").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return bool(keepers.groupBy("sha").count().where("count > 1").take(1))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with all its columns, one row of each group of equal texts."""
     thin, groups = _classes(docs)
-    gone = thin.join(groups, "sha").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct()
+    gone = spread_join(thin, groups, "sha", "group_size").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct()
     gone = materialize(gone, "copies-gone")
     fp = F.xxhash64(normalised(F.col("text")))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), fp.alias("own_fp"))

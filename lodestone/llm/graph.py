@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
-Every step is an aggregation with a map-side combine and an equi-join, so that a hub of any degree is spread; each
-round is written to the shared folder, and no edges come to the driver.  The number of rounds grows with the logarithm
+Every step is an aggregation with a map-side combine and an equi-join in which the rows of a hub stay where they are, so
+that a hub of any degree is spread; each round is written to the shared folder, and no edges come to the driver.  The number of rounds grows with the logarithm
 of the longest path.
 """
 
@@ -10,21 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 MAX_ROUNDS = 60
+#: Up to this many edges a hub's rows may meet in one task.
+PLAIN = 500_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_low(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
+    """edges joined with (u, m, n) on u, where n is how often u stands there."""
+    if n_edges <= PLAIN:
+        return edges.join(low, "u")
+    return spread_join(edges, materialize(low, "edge-lows"), "u", "n")
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_low(both.where("v > u"), low, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Expects u > v in every edge."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_low(edges, low, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,7 +49,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = _large_star(edges, before[0])
+        if before[0] > PLAIN:
+            edges = materialize(edges, "edges")
+        edges = materialize(_small_star(edges, before[0]), "edges")
         now = _state(edges)
         if now == before:
             break

@@ -16,10 +16,12 @@ Bands have 4 rows.  Their number follows from the threshold, such that a pair at
 at most MISS: 28 bands for 0.80, 20 for 0.85.  Signatures agree enough if so many of 77 coordinates (one byte kept of
 each) do that a pair at the threshold fails with a probability of at most FAIL: 40 for 0.80, 46 for 0.85.
 
+Rows of a hot bucket, class or family stay where they are and the few facts of hot keys come to them (`spread_join`).
+
 Cases: documents without words have an empty set and link with nothing; fewer words than a shingle form one shingle;
-a null doc_id links with nothing and is its own component; rows that repeat an id are documents of their own but one
-node; texts of any length are read whole; an empty table gives an empty result; extra columns are ignored by
-`find_near_copies` and kept by `drop_near_copies`.
+a null doc_id links with nothing and is its own component; rows that repeat an id are documents of their own, and where
+several of one component have its smallest id, `drop_near_copies` keeps one; texts of any length are read whole; an empty
+table gives an empty result; extra columns are ignored by `find_near_copies` and kept by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, small_batches, small_or_shuffled, splitmix
+from .common import lower_words, materialize, small_batches, small_or_shuffled, splitmix, spread_join
 from .graph import connected_components
 
 SHINGLE, ROWS = 5, 4
@@ -43,8 +45,8 @@ PERCENT = 80
 WORDS = 11
 #: Probabilities that a pair at the threshold shares no band, and that too few of its coordinates agree.
 MISS, FAIL = 5e-7, 2e-8
-#: Rows of a block; larger groups are compared in pairs of blocks.
-BLOCK = 1024
+#: Rows of a block; larger groups are compared in pairs of blocks, so that no task holds more of a group than two of them.
+BLOCK = 128
 
 
 @functools.cache
@@ -149,7 +151,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, k1, k2 (the set's key), bands, marks."""
+    """Per row: doc_id, fp (of the text), n_shingles, k1, k2 (the set's key), bands, marks."""
     n_bands = bands_for(percent)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,9 +164,11 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 rows.append((len(elements), *set_key(elements), band_keys(sig) if len(elements) else np.zeros(0, np.int64), coordinate_bytes(sig)))
             out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "marks"])
             out.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
+            out.insert(1, "fp", batch["fp"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, marks array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+    return rows.mapInPandas(sketch, "doc_id long, fp long, n_shingles long, k1 long, k2 long, bands array<long>, marks array<long>")
 
 
 def blocked(rows: DataFrame) -> DataFrame:
@@ -172,9 +176,9 @@ def blocked(rows: DataFrame) -> DataFrame:
     main.  Rows of a key that has nothing left to compare are dropped.  Adds grp, kind (0: main against others, 1:
     others among themselves) and own (the row's block)."""
     sizes = rows.groupBy("key").agg(F.count_if("main").alias("mains"), F.count_if(~F.col("main")).alias("others"))
-    sizes = sizes.where("others > 0 and (mains > 1 or others > 1)")
+    sizes = materialize(sizes.where("others > 0 and (mains > 1 or others > 1)").withColumn("members", F.col("mains") + F.col("others")), "minhash-sizes")
     n = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
-    rows = rows.join(sizes, "key").withColumn("mb", n("mains")).withColumn("ob", n("others"))
+    rows = spread_join(rows, sizes, "key", "members").drop("members").withColumn("mb", n("mains")).withColumn("ob", n("others"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mb")).otherwise(F.col("ob"))).cast("int"))
     upto = lambda c, top: F.transform(F.sequence(F.lit(1), F.col(top)), c)
     place = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
@@ -245,9 +249,9 @@ def _candidates(g: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
 def _families(members: DataFrame, percent: int) -> DataFrame:
     """(node, component): nodes joined by agreeing signatures of one bucket, directly or in steps."""
     centre = F.max(F.struct(F.col("size").alias("w"), F.col("node").alias("b"), F.col("n").alias("cn"), F.col("marks").alias("cmarks"))).alias("c")
-    centres = members.groupBy("bucket").agg(centre).select("bucket", "c.b", "c.cn", "c.cmarks")
+    centres = materialize(members.groupBy("bucket").agg(centre, F.count("*").alias("held")).select("bucket", "held", "c.b", "c.cn", "c.cmarks"), "minhash-centres")
     near = (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")) & (agreeing("marks", "cmarks") >= agree_for(percent))
-    stars = members.join(centres, "bucket").select(F.col("bucket").alias("key"), "node", "n", "marks", "b", (near | (F.col("node") == F.col("b"))).alias("main"))
+    stars = spread_join(members, centres, "bucket", "held", width=F.lit(240)).select(F.col("bucket").alias("key"), "node", "n", "marks", "b", (near | (F.col("node") == F.col("b"))).alias("main"))
     stars = materialize(stars, "minhash-stars")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,7 +275,7 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) of a forest of verified links, from blocks of rows (key, node, main, comp, k1, n, marks, text)."""
+    """Edges (u, v) of a forest of verified links, from blocks of rows (key, node, main, comp, n, marks, text)."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -283,10 +287,8 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
             if not len(i):
                 continue
             used = np.unique(np.concatenate([i, j]))
-            texts, keys, node = g["text"].to_numpy(), g["k1"].to_numpy(), g["node"].to_numpy()
+            texts, node = g["text"].to_numpy(), g["node"].to_numpy()
             sets = {int(x): shingler.shingles(texts[x]) for x in used}
-            for x in [x for x, s in sets.items() if set_key(s)[0] != keys[x]]:
-                sets[x] = sets[x][:0]  # another row with the same id
             _, dense = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
             sizes = np.array([len(s) for s in sets.values()])
             at = dict(zip(sets, zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True), strict=True))
@@ -310,69 +312,98 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
                 yield pd.DataFrame([(node[a], node[b]) for a, b in forest.edges], columns=["u", "v"])
 
     placed = blocked(rows).repartition("grp").sortWithinPartitions("grp", "node")
-    return placed.select("grp", "kind", "own", "main", "node", "comp", "k1", "n", "marks", "text").mapInPandas(verify, "u long, v long")
+    return placed.select("grp", "kind", "own", "main", "node", "comp", "n", "marks", "text").mapInPandas(verify, "u long, v long")
 
 
 def _star_links(rows: DataFrame, percent: int) -> DataFrame:
-    """Verified links (u, v) of the nodes of a family with its centre: rows (key, node, k1, n, text)."""
-    centres = rows.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("b"), F.col("k1").alias("kb")), F.struct("company", "node")).alias("c")).select("c.*")
-    centres = centres.join(rows.select(F.col("key"), F.col("node").alias("b"), F.col("k1").alias("kb"), F.col("text").alias("tb")), ["b", "kb"])
+    """Verified links (u, v) of the nodes of a family with its centre: rows (key, node, company, text)."""
+    centres = rows.groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("b"), F.count("*").alias("held"))
+    centres = centres.join(rows.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").where("held > 1")
+    centres = materialize(centres, "minhash-family-centres")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, held_text, held = Shingler(), None, None
         for batch in batches:
             out = []
-            for a, ka, ta, b, kb, tb in zip(batch["node"], batch["k1"], batch["text"], batch["b"], batch["kb"], batch["tb"], strict=True):
+            for a, ta, b, tb in zip(batch["node"], batch["text"], batch["b"], batch["tb"], strict=True):
                 if tb != held_text:
                     held_text, held = tb, shingler.shingles(tb)
-                own = shingler.shingles(ta)
-                if set_key(own)[0] == ka and set_key(held)[0] == kb and linked(own, held, percent):
+                if linked(shingler.shingles(ta), held, percent):
                     out.append((a, b))
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"])
 
-    pairs = rows.join(centres, "key").where("node <> b")
-    return pairs.select("node", "k1", "text", "b", "kb", "tb").mapInPandas(verify, "u long, v long")
+    pairs = spread_join(rows, centres, "key", "held", width=F.octet_length("tb") + 64).where("node <> b")
+    return pairs.select("node", "text", "b", "tb").mapInPandas(verify, "u long, v long")
 
 
-def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sketches with their class's node, (node, component) of the linked nodes)."""
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches, classes of equal sets: k1, k2, copies, component_id)."""
     small_batches(docs.sparkSession)
     rows = materialize(sketches(docs, percent), "minhash-rows")
     own = F.first(F.struct("bands", "marks", F.col("n_shingles").alias("n"))).alias("own")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), own)
-    classes = materialize(classes.select("k1", "k2", "node", "own.*"), "minhash-classes")
+    rep = F.min(F.struct(F.col("doc_id").alias("first_id"), F.col("fp").alias("rep_fp"))).alias("rep")
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(rep, own, F.count("*").alias("copies"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "copies", "rep.*", "own.*"), "minhash-classes")
+    comps = _linked_nodes(docs, classes, percent)
+    firsts = comps.join(classes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = classes.select("k1", "k2", "copies", "node", "first_id").join(comps.join(firsts, "component").select("node", "component_id"), "node", "left")
+    return rows, materialize(named.select("k1", "k2", "copies", F.coalesce("component_id", "first_id").alias("component_id")), "minhash-named")
+
+
+def _linked_nodes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes that link with others."""
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    busy = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    busy = materialize(buckets.join(busy, "bucket"), "minhash-busy")
+    busy = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "minhash-full")
+    busy = materialize(spread_join(buckets, busy, "bucket", "size"), "minhash-busy")
     company = busy.groupBy("node").agg(F.sum("size").alias("company"))
-    known = materialize(classes.drop("bands", "k2").join(company, "node"), "minhash-known")
+    known = materialize(classes.drop("bands", "k2", "copies").join(company, "node"), "minhash-known")
     members = busy.select("bucket", "node").join(known.select("node", "n", "marks", F.col("company").alias("size")), "node")
 
     families = materialize(_families(members, percent), "minhash-families")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small_or_shuffled(families.select("node")), "node", "left_semi")
-    inside = materialize(families.withColumnRenamed("component", "key").join(known, "node").join(texts, "node"), "minhash-texts")
+    inside = families.withColumnRenamed("component", "key").join(known, "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.xxhash64("text").alias("rep_fp"), "text")
+    wanted = materialize(inside.select("first_id", "rep_fp"), "minhash-wanted")
+    texts = texts.join(small_or_shuffled(wanted), ["first_id", "rep_fp"], "left_semi").dropDuplicates(["first_id", "rep_fp"])
+    inside = materialize(inside.join(texts, ["first_id", "rep_fp"]).drop("first_id", "rep_fp"), "minhash-texts")
     stars = materialize(_star_links(inside, percent), "minhash-star-links")
     comps = materialize(connected_components(stars), "minhash-star-components")
     # Main in its family: joined with the most nodes by now. Families of one component are done.
     placed = inside.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    largest = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("best"), F.count("*").alias("parts")).where("parts > 1")
-    placed = placed.join(largest, "key").select("node", "comp", (F.col("comp") == F.col("best")).alias("main"))
+    largest = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("best"), F.count("*").alias("parts"), F.sum("c").alias("held")).where("parts > 1")
+    placed = spread_join(placed, materialize(largest, "minhash-largest"), "key", "held").select("node", "comp", (F.col("comp") == F.col("best")).alias("main"))
     links = materialize(_linked(inside.join(placed, "node"), percent), "minhash-links")
-    return rows.join(classes.select("k1", "k2", "node"), ["k1", "k2"], "left"), connected_components(stars.unionByName(links))
+    return connected_components(stars.unionByName(links))
+
+
+def _found(docs: DataFrame, percent: int) -> DataFrame:
+    rows, classes = _classes(docs, percent)
+    out = spread_join(rows.select("doc_id", "fp", "n_shingles", "k1", "k2", (F.col("n_shingles") > 0).alias("some")), classes, ["k1", "k2"], "copies", "left")
+    linkable = F.col("some") & F.col("doc_id").isNotNull()
+    component = F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "fp", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def find_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
-    rows, comps = _components(docs, percent)
-    comps = comps.withColumnRenamed("node", "at")
-    out = rows.join(small_or_shuffled(comps), rows["node"] == comps["at"], "left")
-    component = F.coalesce("component", "node", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _found(docs, percent).drop("fp")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with all its columns, one document of each component (the one with the smallest doc_id)."""
-    gone = materialize(find_near_copies(docs, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "minhash-gone")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"))
-    return rows.join(small_or_shuffled(gone), F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")
+    found = materialize(_found(docs, percent), "minhash-found")
+    gone = found.where("not kept").select("doc_id", "fp")
+    # Rows with the smallest id of their component: the one whose text has the smallest hash stays.
+    firsts = found.where("kept and doc_id is not null and n_shingles > 0")
+    again = materialize(firsts.groupBy("doc_id").agg(F.min("fp").alias("keep_fp"), F.count("*").alias("n")).where("n > 1"), "minhash-again")
+    repeats = again.take(1)
+    if repeats:
+        gone = gone.unionByName(firsts.join(small_or_shuffled(again), "doc_id").where("fp <> keep_fp").select("doc_id", "fp"))
+    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("fp").alias("gone_fp")).distinct(), "minhash-gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_fp"))
+    rows = rows.join(small_or_shuffled(gone), (F.col("own_id") == F.col("gone_id")) & (F.col("own_fp") == F.col("gone_fp")), "left_anti")
+    if repeats:
+        again = again.select(F.col("doc_id").alias("again_id"))
+        same = F.col("own_id") == F.col("again_id")
+        rows = rows.join(small_or_shuffled(again), same, "left_anti").unionByName(rows.join(small_or_shuffled(again), same, "left_semi").dropDuplicates(["own_id", "own_fp"]))
+    return rows.select("row.*")

@@ -60,7 +60,7 @@ class Vectoriser:
             seen.clear()
         for w in set(words):
             if w not in seen:
-                form = _form(w.decode("utf-8", "surrogatepass"))[:40]
+                form = _form(w.decode("utf-8", "surrogatepass"))
                 seen[w] = (self.hash(w.lower()), self.hash(form.encode("utf-8", "surrogatepass"), 7))
         pairs = np.array([seen[w] for w in words], np.uint64)
         word, form = pairs[:, 0], pairs[:, 1]
@@ -141,7 +141,7 @@ def scorer(spark, weights: np.ndarray):
             out = []
             for text in texts:
                 at, x = vectorise(text)
-                out.append(float(w[at] @ x))
+                out.append(float(w[at].astype(float) @ x))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -35, 35))))
 
     return score_texts

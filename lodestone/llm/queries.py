@@ -99,4 +99,39 @@ SELECT t.doc_id, t.size, g.source_size, g.target, (t.size * (g.copies + k.extra)
 FROM thin t JOIN rests g ON t.source IS NOT DISTINCT FROM g.source JOIN taken k ON t.source IS NOT DISTINCT FROM k.source AND t.h = k.h
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": _OP4_SQL, "op7_mixing": _OP7_SQL}
+#: Components: each node's smallest reachable one. Expects nodes (id) and links (x, y).
+_COMPONENTS = """
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT id AS node, id AS seen FROM nodes WHERE id IS NOT NULL UNION SELECT reach.node, edges.y FROM reach JOIN edges ON reach.seen = edges.x),
+components AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+"""
+
+_OP9_SQL = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v,
+         coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
+  FROM embeddings
+), nodes AS (SELECT vec_id AS id FROM vectors
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id
+  WHERE a.usable AND b.usable AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
+), {_COMPONENTS}, degrees AS (SELECT x, count(*) AS n FROM edges GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN components ON vec_id = node LEFT JOIN degrees ON vec_id = x
+"""
+
+_OP10_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id AS id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), nodes AS (SELECT id, len(s)::BIGINT AS n FROM sets
+), flat AS (SELECT id, unnest(s) AS g FROM sets
+), pairs AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM flat a JOIN flat b ON a.g = b.g AND a.id < b.id GROUP BY ALL
+), links AS (SELECT x, y FROM pairs JOIN nodes p ON p.id = x JOIN nodes q ON q.id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), {_COMPONENTS}
+SELECT id AS doc_id, n AS n_shingles, component_id, id = component_id AS kept FROM nodes JOIN components ON id = node
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": _OP4_SQL, "op7_mixing": _OP7_SQL, "op9_embedding_dedup": _OP9_SQL, "op10_minhash_dedup": _OP10_SQL}

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -67,8 +68,14 @@ def test_quotient_filter():
     build = exact_dedup.CountingQuotientFilter.build
     read = exact_dedup.CountingQuotientFilter.from_bytes
     merged = read(build(np.array(a, np.uint64)).to_bytes()).merge(read(build(np.array(b, np.uint64)).to_bytes()))
-    assert dict(zip(merged.keys.tolist(), merged.counts.tolist(), strict=True)) == Counter(a + b)
-    assert len(read(build(np.zeros(0, np.uint64)).to_bytes()).keys) == 0
+    assert dict(zip(merged.keys().tolist(), merged.counts.tolist(), strict=True)) == Counter(a + b)
+    assert len(read(build(np.zeros(0, np.uint64)).to_bytes())) == 0
+    # Runs hold sorted remainders; any number of filters of any sizes merges to the counts of all.
+    parts = [[random.getrandbits(12) for _ in range(n)] for n in (0, 1, 900, 3, 50, 2000, 7)]
+    whole = exact_dedup.merged([read(build(np.array(x, np.uint64), 12).to_bytes()) for x in parts])
+    assert dict(zip(whole.keys().tolist(), whole.counts.tolist(), strict=True)) == Counter(sum(parts, []))
+    for lo, hi in zip([0, *whole.ends[:-1].tolist()], whole.ends.tolist(), strict=True):
+        assert (np.diff(whole.remainders[lo:hi].astype(np.int64)) > 0).all()
 
 
 def test_token_counts_and_output(odd):
@@ -245,3 +252,95 @@ def test_suffix_array():
 
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Documents that repeat an id are documents of their own: a clean text stays where another with its id is a copy."""
+    r = random.Random(21)
+    base = [f"b{r.randrange(10**6)}" for _ in range(150)]
+    near = " ".join([*base[:-1], "changed"])
+    clean = " ".join(f"c{r.randrange(10**6)}" for _ in range(150))
+    other = " ".join([*clean.split()[:-1], "changed"])
+    rows = [(3, " ".join(base)), (7, clean), (7, near), (9, other), (9, " ".join(base)), (None, clean), (2, "x"), (2, "x"), (5, clean), (5, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x["doc_id"], x["component_id"]) for x in minhash_dedup.find_near_copies(docs).collect()}
+    assert found == {(3, 3), (7, 5), (7, 3), (9, 5), (9, 3), (None, None), (2, 2), (5, 5)}
+    kept = sorted((tuple(x) for x in minhash_dedup.drop_near_copies(docs).collect()), key=repr)
+    assert len(kept) == 4 and (3, " ".join(base)) in kept and (2, "x") in kept and (None, clean) in kept and ((5, clean) in kept) != ((5, other) in kept)
+
+
+def test_minhash_equals_sets_of_words(spark, monkeypatch):
+    """Against sets of word tuples, for groups larger than a block, with shingles, counts and links by their definition."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [r.choice(vocabulary) for _ in range(100)]
+    rows = [(i, " ".join(w if r.random() > 0.004 * (i % 6) else r.choice(vocabulary) for w in base)) for i in range(90)]
+    rows += [(200, "one TWO three"), (201, "One two  THREE"), (202, " \t "), (203, ""), (204, None), (205, "a b c d e"), (206, "a b c d e f"), (207, "É a b c d"), (208, "é a b c d")]
+    sets = {}
+    for i, text in rows:
+        w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").split(" ") if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    out = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in minhash_dedup.find_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert out == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def test_quality_score_recomputed(spark):
+    """Scores from the weights by a plain sum over n-grams; a word's whole form counts, however long it is."""
+    import xxhash
+
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    weights = quality.train(docs, marks)
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    def form(word):
+        import itertools
+
+        out = ""
+        for kind, run in itertools.groupby(word, key=lambda c: "L" if c.isalpha() else "0" if c.isdecimal() else "-"):
+            run = "".join(run)
+            if kind == "L":
+                out += "a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "C" if run[0].isupper() and (len(run) == 1 or run[1:].islower()) else "x"
+            else:
+                out += "0" if kind == "0" else run
+        return out
+
+    def score(text):
+        words = [w for w in re.split("[ \t-\r]+", text or "") if w]
+        total = float(weights[0])
+        low = [xxhash.xxh3_64_intdigest(re.sub("[A-Z]", lambda m: m[0].lower(), w).encode()) for w in words]
+        forms = [xxhash.xxh3_64_intdigest(form(w).encode(), 7) ^ (0x5555 if k and low[k] == low[k - 1] else 0) for k, w in enumerate(words)]
+        for salt, (base, n) in enumerate(((low, 1), (low, 2), (forms, 1), (forms, 2), (forms, 3)), 1):
+            counts = Counter()
+            for k in range(len(base) - n + 1):
+                h = salt
+                for x in base[k : k + n]:
+                    h = mix(h ^ x)
+                counts[h >> (64 - quality.BITS)] += 1
+            norm = math.sqrt(sum(counts.values()))
+            total += sum(float(weights[i]) * math.sqrt(c) / norm for i, c in counts.items())
+        return 1 / (1 + math.exp(-total))
+
+    rows = [(i, t) for i, t in enumerate(["", "The cat sat on 3 mats.", "BUY NOW!!! buy now", "x" * 39 + "1 " + "-" * 50 + "9", "ab." * 30 + "Z"])]
+    rows += [(100 + r["doc_id"], r["text"]) for r in docs.limit(30).collect()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in frame.select("doc_id", quality.scorer(spark, weights)("text").alias("s")).collect()}
+    assert {i: got[i] for i, t in rows} == pytest.approx({i: score(t) for i, t in rows}, rel=1e-4)
