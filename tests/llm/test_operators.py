@@ -173,38 +173,6 @@ def test_quality(spark, odd, labels):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
-def test_lm(spark, odd):
-    rows = lm.score(odd).collect()
-    train = Counter()
-    for doc_id, text, *_ in ODD:
-        if doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2:
-            train.update(lm.tokens_of(text))
-    n, v = sum(train.values()), len(train)
-    want = Counter((x[0], round(sum(math.log10((train[t] + 1) / (n + v + 1)) for t in lm.tokens_of(x[1])), 4)) for x in ODD)
-    assert Counter((r["doc_id"], round(r["base_score"], 4)) for r in rows) == want and all(r["train_tokens"] == n for r in rows)
-    held = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1]
-    z = lm.log_classes(np.random.default_rng(1).standard_normal((lm.ROWS, lm.CLASSES)).astype(np.float32), np.arange(1, 9).reshape(2, 4))
-    assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-5)
-
-
-def test_lm_history_and_company(spark):
-    """A word four places back changes the features, and classes see the company within two places."""
-    u = np.arange(20, 40, dtype=np.int32)
-    for d in (1, 2, 3, 4):
-        other = u.copy()
-        other[10 - d] = 5
-        assert (lm.features(u, np.array([10])) != lm.features(other, np.array([10]))).any()
-    assert lm.CLASSES >= 24
-    rows = lm.with_held(spark.createDataFrame([(None, "a b c")], "doc_id long, text string"))
-    frequent = lm.Ranked(spark, [(b"a", 1), (b"b", 1), (b"c", 1), (lm.END, 1)])
-    profile = lm.company(rows, frequent)
-    units = lm.Words(frequent.value).units([b"a", b"b", b"c", lm.END]).astype(np.int64)
-    place = [int((x * 2654435761 >> 7) % lm.PLACES) for x in [*units, lm.BEGIN_UNIT]]
-    want = Counter([place[1], place[2], place[4], place[4]])
-    assert {i: int(n) for i, n in enumerate(profile[units[0]]) if n} == want
-
-
 def test_html(spark):
     def page(body):
         return f"<html><head><title>t</title></head><body>{body}</body></html>"
@@ -271,7 +239,7 @@ def test_near_copies_of_repeated_ids(spark):
 
 def test_minhash_equals_sets_of_words(spark, monkeypatch):
     """Against sets of word tuples, for groups larger than a block, with shingles, counts and links by their definition."""
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "SMALL_BLOCK", 8)
     r = random.Random(6)
     vocabulary = [f"w{i}" for i in range(300)]
     base = [r.choice(vocabulary) for _ in range(100)]
