@@ -86,7 +86,7 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROAD
 #: A key is hot if it has more than this share of all rows, and so many at least; so there are at most HOT_SHARE hot keys.
 HOT_SHARE, HOT_ROWS = 1000, 10_000
 #: Bytes of a broadcast table of rows of any width.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, on: str | list[str], weight: str, how: str = "inner", width: Column | None = None) -> DataFrame:

@@ -45,8 +45,8 @@ PERCENT = 80
 WORDS = 11
 #: Probabilities that a pair at the threshold shares no band, and that too few of its coordinates agree.
 MISS, FAIL = 5e-7, 2e-8
-#: Rows of a block; larger groups are compared in pairs of blocks, so that no task holds more of a group than two of them.
-BLOCK = 128
+#: Rows of a block: a share of its group, so that a large group is many tasks' work, but within these bounds.
+BLOCK, SMALL_BLOCK, BLOCKS = 1024, 64, 24
 
 
 @functools.cache
@@ -177,7 +177,7 @@ def blocked(rows: DataFrame) -> DataFrame:
     others among themselves) and own (the row's block)."""
     sizes = rows.groupBy("key").agg(F.count_if("main").alias("mains"), F.count_if(~F.col("main")).alias("others"))
     sizes = materialize(sizes.where("others > 0 and (mains > 1 or others > 1)").withColumn("members", F.col("mains") + F.col("others")), "minhash-sizes")
-    n = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    n = lambda c: F.ceil(F.col(c) / F.least(F.lit(BLOCK), F.greatest(F.lit(SMALL_BLOCK), F.col(c) / BLOCKS))).cast("int")
     rows = spread_join(rows, sizes, "key", "members").drop("members").withColumn("mb", n("mains")).withColumn("ob", n("others"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mb")).otherwise(F.col("ob"))).cast("int"))
     upto = lambda c, top: F.transform(F.sequence(F.lit(1), F.col(top)), c)
