@@ -1,36 +1,89 @@
-"""Trigram postings: building, statistics, candidates, and the storage sizes of an index."""
+"""Trigram postings: building, statistics, candidates, and the storage sizes of an index.
+
+A trigram is a number below 2^24: three folded bytes, the first one highest.  Postings are made in Arrow batches with numpy,
+since the JVM has no expression for the windows of a text that is not made of one object for each byte.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import positions, trigrams
+from ..functions.text import trigram_places, trigram_rows
 
 #: Of a conjunction's trigrams the rarest so many are looked up; verification makes the others redundant.
 RAREST = 6
+#: Rows that a worker takes at once, and postings it gives at once.
+BATCH, GIVEN = 256, 1 << 20
+KEYS = ("segment_id", "file_id")
+
+
+def _rows(files: DataFrame, text: str, keys: tuple[str, ...], places: bool, folded: bool = True) -> DataFrame:
+    """(trigram, keys..., at if places), from the column `text`."""
+    import pyarrow as pa
+
+    types = {f.name: f.dataType.simpleString() for f in files.select(*keys).schema}
+    schema = ", ".join(["trigram int", *(f"`{k}` {types[k]}" for k in keys), *(["at int"] if places else [])])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                found = (trigram_places if places else trigram_rows)(part.column(0), folded)
+                for a in range(0, len(found[0]), GIVEN):
+                    row = pa.array(found[1][a : a + GIVEN])
+                    columns = [pa.array(found[0][a : a + GIVEN].astype(np.int32)), *(part.column(1 + i).take(row) for i in range(len(keys)))]
+                    if places:
+                        columns.append(pa.array(found[2][a : a + GIVEN].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(columns, names=["trigram", *keys, *(["at"] if places else [])])
+
+    return files.select(text, *keys).mapInArrow(make, schema)
 
 
-def build(files: DataFrame) -> DataFrame:
+def build(files: DataFrame, text: str = "content", keys: tuple[str, ...] = KEYS, folded: bool = True) -> DataFrame:
     """(trigram, segment_id, file_id), one row a distinct trigram of a file. No shuffle: trigrams are made distinct in the row."""
-    return files.select(F.explode(trigrams(F.col("content"))).alias("trigram"), "segment_id", "file_id")
+    return _rows(files, text, keys, False, folded)
 
 
 def build_positional(files: DataFrame) -> DataFrame:
     """(trigram, segment_id, file_id, at), one row an occurrence, with its byte offset. No shuffle."""
-    return files.select("segment_id", "file_id", F.explode(positions(F.col("content"))).alias("p")).select("p.trigram", "segment_id", "file_id", "p.at")
+    return _rows(files, "content", KEYS, True)
+
+
+def look_up_places(postings: DataFrame, trigrams: list[int]) -> DataFrame:
+    """(segment_id, file_id, trigram, at) of the occurrences of trigrams."""
+    return postings.where(F.col("trigram").isin(trigrams)).select("segment_id", "file_id", "trigram", "at")
+
+
+def phrase_places(postings: DataFrame, trigrams: list[int]) -> DataFrame:
+    """(segment_id, file_id, at) where trigrams stand one byte after the other: the n-th of them at `at` + n."""
+    wanted: dict[int, list[int]] = {}
+    for i, t in enumerate(trigrams):
+        wanted.setdefault(t, []).append(i)
+    if not wanted:
+        return postings.select("segment_id", "file_id", "at").limit(0)
+    turns = F.create_map(*[x for t, at in wanted.items() for x in (F.lit(t), F.array(*map(F.lit, at)))])
+    rows = look_up_places(postings, list(wanted)).withColumn("turn", F.explode(F.element_at(turns, F.col("trigram"))))
+    rows = rows.groupBy("segment_id", "file_id", (F.col("at") - F.col("turn")).alias("at")).agg(F.count("*").alias("n"))
+    return rows.where(F.col("n") == len(trigrams)).drop("n")
 
 
 def statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("trigram").agg(F.count("*").alias("df"))
 
 
-def write(files: DataFrame, path: str) -> None:
-    """Postings sorted by trigram in ranges, so that row-group statistics let a look-up read few of them."""
-    build(files).repartitionByRange("trigram").sortWithinPartitions("trigram", "segment_id", "file_id").write.mode("overwrite").parquet(path)
+def write(files: DataFrame, path: str, postings: DataFrame | None = None) -> None:
+    """Postings in ranges of (trigram, segment, file), so that a common trigram is many tasks' work and row-group statistics
+    let a look-up read few of them."""
+    by = ["trigram", *KEYS]
+    rows = build(files) if postings is None else postings
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
 
 
-def candidates(postings: DataFrame, branches: list[frozenset[str]], stats: DataFrame | None = None, rarest: int = RAREST) -> DataFrame:
+def candidates(postings: DataFrame, branches: list[frozenset[int]], stats: DataFrame | None = None, rarest: int = RAREST) -> DataFrame:
     """(segment_id, file_id) that have all trigrams of any branch: a count over the look-ups of a branch, no joins.  With
     statistics only the rarest trigrams of each branch are looked up, and a branch with an unknown trigram is dropped."""
     if stats is not None:
@@ -54,44 +107,124 @@ def gaps(postings: DataFrame) -> DataFrame:
 
 
 def varint_length(n):
-    """Bytes of a number in 7-bit groups."""
-    return F.when(n < 1 << 7, 1).when(n < 1 << 14, 2).when(n < 1 << 21, 3).when(n < 1 << 28, 4).when(n < 1 << 35, 5).otherwise(10)
+    """Bytes of a number below 2^63 in 7-bit groups."""
+    out = F.lit(9)
+    for k in range(8, 0, -1):
+        out = F.when(n < F.lit(1 << 7 * k), k).otherwise(out)
+    return out
+
+
+def varints(numbers: np.ndarray) -> bytes:
+    """Numbers in groups of 7 bits, the lowest first; all groups of a number but its last have the high bit."""
+    n = np.asarray(numbers, np.uint64)
+    if not len(n):
+        return b""
+    length = np.maximum(1, -(-np.array([int(x).bit_length() for x in n]) // 7)) if (n >> np.uint64(52)).any() else np.maximum(1, -(-np.frexp(n.astype(float))[1] // 7))
+    at = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.uint8)
+    for k in range(int(length.max())):
+        has = np.flatnonzero(length > k)
+        out[at[has] + k] = ((n[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | np.where(length[has] > k + 1, 128, 0).astype(np.uint8)
+    return out.tobytes()
+
+
+def from_varints(data: bytes) -> np.ndarray:
+    """The numbers again; one that is cut off at the end, or longer than 63 bits, ends the list."""
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    length = ends - starts + 1
+    long = np.flatnonzero(length > 9)
+    if len(long):
+        ends, starts, length = (x[: long[0]] for x in (ends, starts, length))
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(int(length.max(initial=0))):
+        has = np.flatnonzero(length > k)
+        out[has] |= (b[starts[has] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return out.astype(np.int64)
+
+
+#: Ids of one encoded list at most; a longer list is several, each with its first id whole.
+LIST_IDS = 1 << 16
+
+
+def _chunks(postings: DataFrame, gathered: dict[str, F.Column]) -> DataFrame:
+    """Lists by trigram and segment, in chunks of about LIST_IDS ids by ranges of the id, so that no list is one group."""
+    chunk = F.floor(F.col("file_id") / LIST_IDS).alias("chunk")
+    return postings.groupBy("trigram", "segment_id", chunk).agg(*[c.alias(n) for n, c in gathered.items()])
 
 
-def varint(n):
-    """A number below 2^35 in groups of 7 bits, the lowest first, as hex digits: all groups but the last have the high bit."""
-    groups = F.sequence(F.lit(0), varint_length(n) - 1)
-    rest = lambda i: F.floor(n / F.pow(F.lit(128.0), i)).cast("long")
-    byte = lambda i: rest(i) % 128 + F.when(i < varint_length(n) - 1, 128).otherwise(0)
-    return F.array_join(F.transform(groups, lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
+def encoded_lists(postings: DataFrame) -> DataFrame:
+    """(trigram, segment_id, chunk, n, data): posting lists as the gaps of their sorted ids in groups of 7 bits."""
 
+    @F.pandas_udf("binary")
+    def encode(ids):
+        return ids.map(lambda x: varints(np.diff(np.asarray(x, np.int64), prepend=0)))
 
-def encoded_lists(postings: DataFrame) -> DataFrame:
-    """(trigram, segment_id, n, data): each posting list as the gaps of its sorted ids in groups of 7 bits."""
-    lists = postings.groupBy("trigram", "segment_id").agg(F.sort_array(F.collect_set("file_id")).alias("ids"))
-    deltas = F.transform("ids", lambda x, i: x - F.when(i > 0, F.get("ids", i - 1)).otherwise(0))
-    return lists.select("trigram", "segment_id", F.size("ids").alias("n"), F.unhex(F.array_join(F.transform(deltas, varint), "")).alias("data"))
+    lists = _chunks(postings, {"ids": F.sort_array(F.collect_set("file_id"))})
+    return lists.select("trigram", "segment_id", "chunk", F.size("ids").alias("n"), encode("ids").alias("data"))
 
 
 def decoded_lists(lists: DataFrame) -> DataFrame:
     """(trigram, segment_id, file_id) from encoded lists; a number that is cut off at the end is left out."""
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("unit"))
 
-    def step(state, byte):
-        value = state["value"] + byte % 128 * state["unit"]
-        done = F.struct(F.array_append(state["out"], state["last"] + value).alias("out"), (state["last"] + value).alias("last"), F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("unit"))
-        return F.when(byte < 128, done).otherwise(F.struct(state["out"].alias("out"), state["last"].alias("last"), value.alias("value"), (state["unit"] * 128).alias("unit")))
+    @F.pandas_udf("array<bigint>")
+    def decode(data):
+        return data.map(lambda x: np.cumsum(from_varints(x)))
+
+    return lists.select("trigram", "segment_id", F.explode(decode("data")).alias("file_id"))
 
-    bytes_of = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substr(F.col("data"), i, F.lit(1))), 16, 10).cast("long"))
-    return lists.select("trigram", "segment_id", F.explode(F.aggregate(bytes_of, start, step)["out"]).alias("file_id"))
+
+def encoded_places(postings: DataFrame) -> DataFrame:
+    """(trigram, segment_id, chunk, n, data): positional lists by file: its id, how many offsets, and their gaps."""
+
+    @F.pandas_udf("binary")
+    def encode(files):
+        def one(rows) -> bytes:
+            numbers: list[int] = []
+            for r in rows:
+                at = np.asarray(r["at"], np.int64)
+                numbers += [r["file_id"], len(at), *np.diff(at, prepend=0).tolist()]
+            return varints(np.array(numbers, np.uint64))
+
+        return files.map(one)
+
+    by_file = postings.groupBy("trigram", "segment_id", "file_id").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    lists = _chunks(by_file, {"files": F.sort_array(F.collect_list(F.struct("file_id", "at"))), "n": F.sum(F.size("at"))})
+    return lists.select("trigram", "segment_id", "chunk", "n", encode("files").alias("data"))
+
+
+def decoded_places(lists: DataFrame) -> DataFrame:
+    """(trigram, segment_id, file_id, at) from encoded positional lists; what is cut off at the end is left out."""
+
+    @F.pandas_udf("array<struct<file_id:bigint,at:bigint>>")
+    def decode(data):
+        def one(x: bytes) -> list[dict]:
+            numbers, out, i = from_varints(x).tolist(), [], 0
+            while i + 1 < len(numbers):
+                at = 0
+                for gap in numbers[i + 2 : i + 2 + numbers[i + 1]]:
+                    at += gap
+                    out.append({"file_id": numbers[i], "at": at})
+                i += 2 + numbers[i + 1]
+            return out
+
+        return data.map(one)
+
+    return lists.select("trigram", "segment_id", F.explode(decode("data")).alias("p")).select("trigram", "segment_id", "p.file_id", F.col("p.at").cast("int").alias("at"))
+
+
+#: What building holds in memory for a distinct trigram and for a posting, in bytes: the table's entry and the list's.
+TRIGRAM_BYTES, POSTING_BYTES = 64, 4
 
 
 def estimate(files: DataFrame) -> DataFrame:
-    """Per segment: files, raw bytes, distinct trigrams, postings, encoded bytes."""
+    """Per segment: files, raw bytes, distinct trigrams, postings, encoded bytes, and memory to build it in one process."""
     lists = gaps(build(files)).groupBy("segment_id", "trigram").agg(F.count("*").alias("n"), F.sum(varint_length(F.col("gap"))).alias("bytes"))
     lists = lists.groupBy("segment_id").agg(F.count("*").alias("trigrams"), F.sum("n").alias("postings"), F.sum("bytes").cast("long").alias("encoded_bytes"))
     raw = files.groupBy("segment_id").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("raw_bytes"))
-    return raw.join(lists, "segment_id", "left")
+    memory = F.col("raw_bytes") + F.col("trigrams") * TRIGRAM_BYTES + F.col("postings") * POSTING_BYTES
+    return raw.join(lists, "segment_id", "left").withColumn("build_bytes", memory)
 
 
 def run_lengths(tokens: DataFrame) -> DataFrame:
@@ -100,16 +233,3 @@ def run_lengths(tokens: DataFrame) -> DataFrame:
     new = F.when(F.lag("kind").over(by_line).eqNullSafe(F.col("kind")), 0).otherwise(1)
     rows = tokens.withColumn("new", new).withColumn("run", F.sum("new").over(by_line))
     return rows.groupBy("line_id", "run").agg(F.first("kind").alias("kind"), F.sum("len").alias("len"))
-
-
-def budget_batches(sizes: list[tuple[int, int]], budget: int) -> list[list[int]]:
-    """Ids in batches that close once their sizes exceed the budget (0: no limit)."""
-    out: list[list[int]] = [[]]
-    total = 0
-    for key, size in sizes:
-        out[-1].append(key)
-        total += size
-        if budget and total > budget:
-            out.append([])
-            total = 0
-    return [b for b in out if b]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, java_regex, lines, overlapping_starts, quoted
+from ..functions.regex import to_java
+from ..functions.text import fold, lines, overlapping_starts, quoted
 from .query import And, LanguageFilter, Literal, Not, Or, PathFilter, Regex
 
 
@@ -14,11 +15,11 @@ def condition(tree, content: Column, path: Column, language: Column) -> Column:
         case Literal(text, case):
             return content.contains(text) if case else fold(content).contains(_folded(text))
         case Regex(pattern):
-            return content.rlike(java_regex(pattern))
+            return content.rlike(to_java(pattern))
         case PathFilter(prefix):
-            return path.startswith(prefix)
+            return F.coalesce(path.startswith(prefix), F.lit(False))
         case LanguageFilter(name):
-            return language == name
+            return language.eqNullSafe(name)
         case And(parts):
             out = F.lit(True)
             for p in parts:
@@ -46,7 +47,7 @@ def _leaf_ranges(tree, line: Column) -> Column:
         if tree.case:
             return F.when(line.contains(tree.text), F.size(overlapping_starts(line, tree.text))).otherwise(0)
         return F.when(fold(line).contains(_folded(tree.text)), F.regexp_count(fold(line), F.lit(quoted(_folded(tree.text))))).otherwise(0)
-    return F.regexp_count(line, F.lit(java_regex(tree.pattern)))
+    return F.regexp_count(line, F.lit(to_java(tree.pattern)))
 
 
 def first_column(tree, line: Column) -> Column:
@@ -58,7 +59,7 @@ def first_column(tree, line: Column) -> Column:
             case Literal(text, case) if text:
                 found.append(F.locate(text if case else _folded(text), line if case else fold(line)))
             case Regex(pattern):
-                found.append(F.regexp_instr(line, F.lit(java_regex(pattern))))
+                found.append(F.regexp_instr(line, F.lit(to_java(pattern))))
             case And(parts) | Or(parts):
                 for p in parts:
                     walk(p)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from ..functions import regex
 from ..functions.tables import language_named
 
 MAX_DEPTH = 128
@@ -126,8 +127,8 @@ class _Parser:
         case, self.case = self.case, False
         if kind == "regex":
             try:
-                re.compile(value.replace(r"\/", "/"))
-            except re.error as error:
+                regex.check(value)
+            except regex.RegexError as error:
                 raise QueryError(f"bad regular expression: {error}") from None
             return Regex(value)
         return Literal(value, case, kind == "phrase")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ranking, text
-from .functions.tables import SYMBOL_KINDS
+from .functions.tables import EXTENSIONS, SYMBOL_KINDS
 from .operators import postings, reports
-from .operators.search import Engine, indexed_symbols, live, marked, newest, search_symbols, symbol_postings, text_report, vimgrep, with_context
-from .plans.query import And, parse
+from .operators.search import Engine, indexed_symbols, live, marked, newest, search_symbols, text_report, vimgrep, with_context
 from .plans.prune import required
+from .plans.query import And, parse
+from .sources import git
 from .sources.corpus import NOW, document_files
 from .streaming.changes import actions, caught_up, event_changes, hash_diff, last_of_path, quiet_sessions, split_renames
 
@@ -31,7 +32,7 @@ LINES = f"""{FILES}, split_up AS (SELECT *, string_split(content, chr(10)) AS pa
   SELECT file_id, path, language, content, i AS line_number, parts[i] AS line FROM (
     SELECT *, unnest(range(1, len(parts) + 1 - (parts[-1] = '')::INT)) AS i FROM split_up))"""
 GRAMS = f"""{FILES}, coded AS (SELECT *, hex(encode({FOLDED})) AS digits FROM files), postings AS (
-  SELECT DISTINCT substr(digits, 2 * i + 1, 6) AS trigram, segment_id, file_id FROM (SELECT *, unnest(range(0, length(digits) // 2 - 2)) AS i FROM coded))"""
+  SELECT DISTINCT ('0x' || substr(digits, 2 * i + 1, 6))::INT AS trigram, segment_id, file_id FROM (SELECT *, unnest(range(0, length(digits) // 2 - 2)) AS i FROM coded))"""
 
 
 def query(sql: str = ""):
@@ -111,9 +112,18 @@ def path_glob(spark, sf_dir):
     return document_files(spark, sf_dir).where(F.col("path").rlike(text.glob_regex("src1?/*/doc_*.rs"))).select("file_id", "path")
 
 
-@query(f"WITH {FILES} SELECT file_id, language AS detected FROM files")
+_NAMED = ", ".join(f"('{e}', '{name}')" for e, name in EXTENSIONS.items())
+_N_EXTENSIONS = len(EXTENSIONS)
+
+
+@query(f"""WITH exts AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_NAMED}) t(ext, language))
+SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN 'Dockerfile' WHEN 4 THEN 'Unknown' ELSE language END AS detected FROM part JOIN exts ON p_partkey % {_N_EXTENSIONS} = k""")
 def language_detection(spark, sf_dir):
-    return document_files(spark, sf_dir).select("file_id", text.language_of(F.col("path")).alias("detected"))
+    """Every extension of the table, file names without one, and names that decide alone."""
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % _N_EXTENSIONS + 1).cast("int"))
+    dot = F.concat(F.lit("dir.rs/a.b."), ext)
+    name = F.when(F.col("p_partkey") % 5 == 3, F.concat(F.lit("x/Dockerfile."), ext)).when(F.col("p_partkey") % 5 == 4, F.concat(F.lit("y/."), ext)).otherwise(dot)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.language_of(name).alias("detected"))
 
 
 @query(f"WITH {GRAMS} SELECT trigram, segment_id, file_id FROM postings")
@@ -127,7 +137,7 @@ def trigram_stats(spark, sf_dir):
 
 
 def _grams_sql(word: str) -> str:
-    grams = ", ".join(f"'{g}'" for g in text.trigrams_of(word))
+    grams = ", ".join(map(str, text.trigrams_of(word)))
     return f"SELECT segment_id, file_id FROM postings WHERE trigram IN ({grams}) GROUP BY ALL HAVING count(*) = {len(text.trigrams_of(word))}"
 
 
@@ -173,16 +183,14 @@ blocks AS (SELECT path, block, min(line_number) AS lo, max(line_number) AS hi FR
 
 @query(f"{_CONTEXT} SELECT path, block::BIGINT AS block, lo, hi FROM blocks")
 def context_blocks(spark, sf_dir):
-    e = engine(spark, sf_dir)
-    rows = with_context(e.search("tionen"), e.files, 1).where("is_match")
+    rows = with_context(engine(spark, sf_dir).search("tionen", context=1)).where("is_match")
     return rows.groupBy("path", F.col("block").cast("long").alias("block")).agg(F.min("line_number").cast("long").alias("lo"), F.max("line_number").cast("long").alias("hi"))
 
 
 @query(f"""{_CONTEXT} SELECT l.path, block::BIGINT AS block, l.line_number, l.line AS content, contains({FOLD.format('l.line')}, 'tionen') AS is_match
 FROM line_rows l JOIN blocks b ON l.path = b.path AND l.line_number BETWEEN b.lo - 1 AND b.hi + 1""")
 def context_lines(spark, sf_dir):
-    e = engine(spark, sf_dir)
-    return with_context(e.search("tionen"), e.files, 1).withColumn("block", F.col("block").cast("long"))
+    return with_context(engine(spark, sf_dir).search("tionen", context=1)).withColumn("block", F.col("block").cast("long"))
 
 
 _SIGNALS = f"""{FILES}, counted AS (SELECT *, greatest(len(regexp_extract_all({FOLDED}, 'und')), 1) AS match_count FROM files WHERE contains({FOLDED}, 'und')),
@@ -222,20 +230,30 @@ def vimgrep_lines(spark, sf_dir):
     return vimgrep(engine(spark, sf_dir).search("ungen"), "ungen")
 
 
-@query(f"""WITH {LINES}, hits AS (SELECT * FROM line_rows WHERE contains({FOLD.format('line')}, 'ungen')),
-counted AS (SELECT *, len(regexp_extract_all({FOLD.format('line')}, 'ungen')) AS n FROM hits)
-SELECT path, '## ' || path || ' (' || any_value(language) || ', ' || sum(n)::BIGINT || CASE WHEN sum(n) = 1 THEN ' match)' ELSE ' matches)' END || chr(10)
-  || string_agg('L' || line_number || ': ' || line, chr(10) ORDER BY line_number) AS text FROM counted GROUP BY path""")
+@query(f"""WITH {LINES}, hits AS (SELECT * FROM line_rows WHERE contains({FOLD.format('line')}, 'ungen'))
+SELECT path, '## ' || path || ' (' || any_value(language) || ', ' || count(*) || ' matches)' || chr(10)
+  || string_agg('L' || line_number || ':* ' || line, chr(10) ORDER BY line_number) AS text FROM hits GROUP BY path""")
 def report_text(spark, sf_dir):
     return text_report(engine(spark, sf_dir).search("ungen"))
 
 
-@query(f"""WITH {LINES} SELECT path, line_number, replace(replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), 'tion', '<mark>tion</mark>') AS html
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"""WITH {LINES} SELECT path, line_number, array_to_string(list_transform(string_split(line, 'tion'), lambda x: {_ESCAPED.format('x')}), '<mark>tion</mark>') AS html
 FROM line_rows WHERE contains(line, 'tion')""")
 def marked_lines(spark, sf_dir):
     return marked(engine(spark, sf_dir).search('case:yes "tion"'), "tion")
 
 
+@query(f"""WITH {LINES.replace("coalesce(text, '')", "coalesce(replace(text, 'a', '&a<'), '')")} SELECT path, line_number, array_to_string(list_transform(string_split(line, 'a'), lambda x: {_ESCAPED.format('x')}), '<mark>a</mark>') AS html
+FROM line_rows WHERE contains(line, 'a')""")
+def marked_entities(spark, sf_dir):
+    """The word is a letter of an entity's name, and stands beside characters that become entities."""
+    e = Engine(document_files(spark, sf_dir).withColumn("content", F.replace("content", F.lit("a"), F.lit("&a<"))), now=NOW)
+    return marked(e.search('case:yes "a"'), "a")
+
+
 @query(_found("contains(content, 'The')"))
 def smart_case_pattern(spark, sf_dir):
     return engine(spark, sf_dir).pattern("The").select("file_id", "path")
@@ -270,7 +288,7 @@ def index_staleness(spark, sf_dir):
 
 
 @query(f"""WITH {FILES}, coded AS (SELECT *, hex(encode({FOLDED})) AS digits FROM files), found AS (
-  SELECT file_id, substr(digits, 2 * i + 1, 6) AS trigram, i AS place FROM (SELECT *, unnest(range(0, length(digits) // 2 - 2)) AS i FROM coded))
+  SELECT file_id, ('0x' || substr(digits, 2 * i + 1, 6))::INT AS trigram, i AS place FROM (SELECT *, unnest(range(0, length(digits) // 2 - 2)) AS i FROM coded))
 SELECT trigram, count(*) AS occurrences, count(DISTINCT file_id) AS files, sum(place)::BIGINT AS offsets FROM found GROUP BY trigram""")
 def positional_postings(spark, sf_dir):
     rows = postings.build_positional(document_files(spark, sf_dir))
@@ -386,9 +404,9 @@ def catch_up_counts(spark, sf_dir):
     return caught_up(last_of_path(_changes(spark, sf_dir)))
 
 
-@query(f"WITH {_EVENTS} SELECT kind, count(*) AS n FROM changes GROUP BY kind")
+@query(f"WITH {_EVENTS} SELECT count(*) FILTER (WHERE kind = 'Created') AS created, count(*) FILTER (WHERE kind IN ('Modified', 'Renamed')) AS modified, count(*) FILTER (WHERE kind = 'Deleted') AS deleted FROM changes")
 def change_counts(spark, sf_dir):
-    return _changes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+    return caught_up(_changes(spark, sf_dir))
 
 
 @query(f"""WITH {_EVENTS}, marked AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 43200000000, true)::INT AS apart FROM changes WINDOW w AS (PARTITION BY path ORDER BY ts, event_id))
@@ -410,8 +428,8 @@ def hash_differences(spark, sf_dir):
 
 @query(f"""WITH {_EVENTS}, sourced AS (SELECT path, kind, event_id % 3 AS prio, event_id FROM changes) SELECT path, kind FROM sourced QUALIFY row_number() OVER (PARTITION BY path ORDER BY prio DESC, event_id DESC) = 1""")
 def git_merge_precedence(spark, sf_dir):
-    rows = _changes(spark, sf_dir).withColumn("prio", F.col("event_id") % 3)  # committed, unstaged, untracked
-    return rows.groupBy("path").agg(F.max_by("kind", F.struct("prio", "event_id")).alias("kind"))
+    rows = _changes(spark, sf_dir).select("path", "kind", (F.col("event_id") % 3).alias("source"), F.col("event_id").alias("turn"))
+    return git.merged(rows)
 
 
 _KIND_LIST = "[" + ", ".join(f"'{k}'" for k in SYMBOL_KINDS) + "]"
@@ -434,7 +452,8 @@ def symbol_search(spark, sf_dir):
 @query(f"WITH {_SYMBOLS} SELECT name, path, line FROM symbols WHERE contains({FOLD.format('name')}, 'red') ORDER BY {_SYMBOL_SCORE} DESC, name, path, line LIMIT 100")
 def symbol_index_search(spark, sf_dir):
     symbols = _symbols(spark, sf_dir)
-    return indexed_symbols(symbols, symbol_postings(symbols), "Red").select("name", "path", "line")
+    index = postings.build(symbols, "name", ("path", "name", "line"))
+    return indexed_symbols(symbols, index, "Red").select("name", "path", "line")
 
 
 @query(f"WITH {_SYMBOLS} SELECT name, path, line FROM symbols WHERE kind = 'Function' AND contains({FOLD.format('path')}, '1') ORDER BY name, path, line LIMIT 50")
@@ -455,7 +474,7 @@ def delta_gaps(spark, sf_dir):
 @query(f"""WITH {GRAMS}, gaps AS (SELECT *, file_id - coalesce(lag(file_id) OVER (PARTITION BY trigram, segment_id ORDER BY file_id), 0) AS gap FROM postings),
 lists AS (SELECT segment_id, count(DISTINCT trigram) AS trigrams, count(*) AS postings, sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 WHEN gap < 268435456 THEN 4 ELSE 5 END)::BIGINT AS encoded_bytes FROM gaps GROUP BY segment_id),
 raw AS (SELECT segment_id, count(*) AS files, sum(size_bytes)::BIGINT AS raw_bytes FROM files GROUP BY segment_id)
-SELECT segment_id, files, raw_bytes, trigrams, postings, encoded_bytes FROM raw LEFT JOIN lists USING (segment_id)""")
+SELECT segment_id, files, raw_bytes, trigrams, postings, encoded_bytes, raw_bytes + 64 * trigrams + 4 * postings AS build_bytes FROM raw LEFT JOIN lists USING (segment_id)""")
 def estimate_index(spark, sf_dir):
     return postings.estimate(document_files(spark, sf_dir))
 
