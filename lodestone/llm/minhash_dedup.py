@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, small_batches, small_or_shuffled, splitmix, spread_join
+from .common import lower_words, materialize, small_batches, small_or_shuffled, splitmix, spread_join, tidy
 from .graph import connected_components
 
 SHINGLE, ROWS = 5, 4
@@ -80,7 +80,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         seen = self.seen
-        if len(seen) > 400_000:
+        if len(seen) > 200_000:
             seen.clear()
         for w in set(words):
             if w not in seen:
@@ -168,7 +168,7 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    return rows.mapInPandas(sketch, "doc_id long, fp long, n_shingles long, k1 long, k2 long, bands array<long>, marks array<long>")
+    return rows.mapInPandas(tidy(sketch), "doc_id long, fp long, n_shingles long, k1 long, k2 long, bands array<long>, marks array<long>")
 
 
 def blocked(rows: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame(edges, columns=["u", "v"])
 
     rest = blocked(stars.drop("b")).repartition("grp").sortWithinPartitions("grp", "node")
-    more = rest.select("grp", "kind", "own", "main", "node", "n", "marks").mapInPandas(compare, "u long, v long")
+    more = rest.select("grp", "kind", "own", "main", "node", "n", "marks").mapInPandas(tidy(compare), "u long, v long")
     return connected_components(stars.where("main").select(F.col("node").alias("u"), F.col("b").alias("v")).distinct().unionByName(more))
 
 
@@ -312,7 +312,7 @@ def _linked(rows: DataFrame, percent: int) -> DataFrame:
                 yield pd.DataFrame([(node[a], node[b]) for a, b in forest.edges], columns=["u", "v"])
 
     placed = blocked(rows).repartition("grp").sortWithinPartitions("grp", "node")
-    return placed.select("grp", "kind", "own", "main", "node", "comp", "n", "marks", "text").mapInPandas(verify, "u long, v long")
+    return placed.select("grp", "kind", "own", "main", "node", "comp", "n", "marks", "text").mapInPandas(tidy(verify), "u long, v long")
 
 
 def _star_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -334,7 +334,7 @@ def _star_links(rows: DataFrame, percent: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=["u", "v"])
 
     pairs = spread_join(rows, centres, "key", "held", width=F.octet_length("tb") + 64).where("node <> b")
-    return pairs.select("node", "text", "b", "tb").mapInPandas(verify, "u long, v long")
+    return pairs.select("node", "text", "b", "tb").mapInPandas(tidy(verify), "u long, v long")
 
 
 def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 from .tokens import cached, tokenizer_path
 
 CAPACITY, END_ID = 2048, 1
@@ -195,7 +195,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         if rows:
             yield frame()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(pack), SCHEMA)
 
 
 def packed_digest(packed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, small_batches, splitmix, words_of
+from .common import crc_remainder, small_batches, splitmix, tidy, words_of
 
 BITS, MAX_TRAIN_ROWS, EPOCHS, THRESHOLD = 18, 12_000, 3, 0.3
 #: Follow-the-regularised-leader: learning rate and its offset, and the two penalties.
@@ -56,7 +56,7 @@ class Vectoriser:
         if not words:
             return bias
         seen = self.seen
-        if len(seen) > 300_000:
+        if len(seen) > 200_000:
             seen.clear()
         for w in set(words):
             if w not in seen:
@@ -122,8 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, bi
         yield pd.DataFrame({"i": at, "w": w[at]})
 
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows rows of three numbers
-    built = known.mapInPandas(vectors, "turn long, y int, at binary, x binary")
-    learned = built.repartition(1).sortWithinPartitions("turn", "at", "y").mapInPandas(learn, "i int, w double").toPandas()
+    built = known.mapInPandas(tidy(vectors), "turn long, y int, at binary, x binary")
+    learned = built.repartition(1).sortWithinPartitions("turn", "at", "y").mapInPandas(tidy(learn), "i int, w double").toPandas()
     weights = np.zeros(1 << bits, np.float32)
     weights[learned["i"].to_numpy(np.int64)] = learned["w"].to_numpy(np.float32)
     return weights
@@ -134,8 +134,7 @@ def scorer(spark, weights: np.ndarray):
     held = spark.sparkContext.broadcast(weights)
     bits = int(len(weights)).bit_length() - 1
 
-    @F.pandas_udf("double")
-    def score_texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vectorise, w = Vectoriser(bits), held.value
         for texts in parts:
             out = []
@@ -144,6 +143,10 @@ def scorer(spark, weights: np.ndarray):
                 out.append(float(w[at].astype(float) @ x))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -35, 35))))
 
+    @F.pandas_udf("double")
+    def score_texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(scores)(parts)
+
     return score_texts
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, work_path
+from .common import small_batches, tidy, work_path
 from .tokens import cached, tokenizer_path
 
 END_ID = 2
@@ -127,7 +127,7 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInPandas(encode, BLOCK_SCHEMA).write.parquet(out)
+    ordered.mapInPandas(tidy(encode), BLOCK_SCHEMA).write.parquet(out)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,7 +151,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     # One row a part, so as many as the parameter `parts` says.
     placed = blocks.join(F.broadcast(bases), "part")
-    return placed.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInPandas(tidy(decode), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
