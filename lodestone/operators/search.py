@@ -134,10 +134,10 @@ class Engine:
                 yield row
                 left = None if left is None else left - 1
 
-    def page(self, query, page: int = 1, per_page: int = 20) -> tuple[DataFrame, dict]:
-        """A page of results and exact totals; the search runs once."""
+    def page(self, query, page: int = 1, per_page: int = 20, context: int | None = None, glob: str | None = None) -> tuple[DataFrame, dict]:
+        """A page of results and exact totals; the search of all files runs once."""
         per_page, page = max(1, min(per_page, MAX_PER_PAGE)), max(1, page)
-        narrow = self.search(query).select(*IDS, "path", "score", F.size("lines").alias("n")).persist()
+        narrow = self.search(query, glob=glob).select(*IDS, "path", "score", F.size("lines").alias("n")).persist()
         try:
             total = narrow.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
             best = self.top(narrow, per_page, (page - 1) * per_page).select(*IDS).collect()  # a page
@@ -145,7 +145,7 @@ class Engine:
             narrow.unpersist()
         pages = -(-total["files"] // per_page)
         wanted = self.all_files.sparkSession.createDataFrame([tuple(r) for r in best], "segment_id long, file_id long")
-        rows = Engine(self.all_files.join(F.broadcast(wanted), IDS, "left_semi"), now=self.now).search(query)
+        rows = Engine(self.all_files.join(F.broadcast(wanted), IDS, "left_semi"), now=self.now).search(query, context=context)
         return self.top(rows, per_page), {"total_matches": total["lines"], "files_matched": total["files"], "page": page, "per_page": per_page, "total_pages": pages, "has_next": page < pages}
 
     def explain(self, query) -> str:
