@@ -69,6 +69,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the intermediate tables of a session, once nothing that was made from them will be read again."""
+    for item in [x for x in _written if x[0] is spark]:
+        remove(*item)
+        _written.remove(item)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -5,8 +5,9 @@ The threshold is found by nested histograms: words are summed by source and hash
 reached is found from running sums, and only that bucket is divided again, until it is one hash value.  Documents are
 then filtered against the thresholds; nothing is sorted by document.
 
-Cases: a null text has size 0; a null source is a source of its own, last in order; rows with equal ids share one hash
-and are taken or left together; an empty table gives an empty result; other columns are ignored by `mix` and kept by
+Cases: a null text has size 0; a null source is a source of its own, last in order; rows with equal ids and texts share
+one hash and are taken or left together, others have hashes of their own also where they repeat an id or have none; very
+long texts are counted whole; an empty table gives an empty result; other columns are ignored by `mix` and kept by
 `apply_mix`.  A source without words has target 0.
 """
 
@@ -25,10 +26,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the MD5 of the id as text, so that any SQL engine can repeat it."""
-    text = F.coalesce(doc_id.cast("string"), F.lit("null"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the id and the MD5 of the text, both as text, so that any SQL engine can repeat it."""
+    own = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(own.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -88,16 +89,16 @@ def _decided(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words the mix takes of it, repeats counted)."""
-    thin = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h")), "mix-thin")
+    thin = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix-thin")
     out = _decided(thin, thresholds(thin, share, cap, weights))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """The mixed documents with the columns of docs: each row as often as the mix takes it, so none, once or twice."""
-    thin = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("h")), "mix-thin")
+    thin = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")), "mix-thin")
     limits = thresholds(thin, share, cap, weights)
-    packed = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), id_hash(F.col("doc_id")).alias("h"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
     out = _decided(packed, limits)
     out = out.where(F.col("times") > 0).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
     return out.select("row.*")

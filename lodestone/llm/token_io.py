@@ -14,6 +14,7 @@ order; texts of any length are one document in one block; an empty table gives n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,7 +97,7 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
     path = path or tokenizer_path("word_bpe_49k.json")
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -126,13 +127,16 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
         if chunks:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # The place of a row in the input divides rows with one id, or none, over ranges.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    by = [F.col("doc_id").asc_nulls_first(), "place"]
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text")
     ordered.mapInPandas(tidy(encode), BLOCK_SCHEMA).write.parquet(out)
 
 
-def read_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a document from the files: doc_id, start (ids of all documents before it), n_tokens, ids (binary,
-    little-endian uint32)."""
+def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """One row a document from the files: doc_id, start (ids of all documents before it), n_tokens, and ids (binary,
+    little-endian uint32) or, for a digest, their unsigned crc32 as ids_crc32."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder)
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("base"))
@@ -146,16 +150,17 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 nulls = np.unpackbits(np.frombuffer(b.doc_nulls, np.uint8), count=len(lengths)).astype(bool)
                 doc_ids = pd.array(np.frombuffer(b.doc_ids, "<i8"), dtype="Int64")
                 doc_ids[nulls] = pd.NA
-                data = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
-                yield pd.DataFrame({"doc_id": doc_ids, "start": b.base + b.first + ends - lengths, "n_tokens": lengths, "ids": data})
+                own = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                data = {"ids_crc32": [zlib.crc32(x) for x in own]} if digest else {"ids": [x.tobytes() for x in own]}
+                yield pd.DataFrame({"doc_id": doc_ids, "start": b.base + b.first + ends - lengths, "n_tokens": lengths, **data})
 
     # One row a part, so as many as the parameter `parts` says.
     placed = blocks.join(F.broadcast(bases), "part")
-    return placed.mapInPandas(tidy(decode), "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInPandas(tidy(decode), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes all ids to a folder beside the checkpoints, reads them back, and gives the digest of each document."""
     out = work_path(docs.sparkSession, "token-ids")
     write_ids(docs, out, path)
-    return read_ids(docs.sparkSession, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_ids(docs.sparkSession, out, digest=True)

@@ -312,3 +312,20 @@ def test_quality_score_recomputed(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["s"] for r in frame.select("doc_id", quality.scorer(spark, weights)("text").alias("s")).collect()}
     assert {i: got[i] for i, t in rows} == pytest.approx({i: score(t) for i, t in rows}, rel=1e-4)
+
+
+def test_mixing_of_repeated_ids(spark):
+    """Rows that repeat an id, or have none, are divided; a source's words come near its target; reruns agree."""
+    rows = [(k % 3 if k % 2 else None, f"w{k} " * (1 + k % 4), "a" if k % 3 else "b") for k in range(900)] + [(1, "same words here", "a")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    per = mixing.mix(docs).groupBy("source_size").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()
+    assert len(per) == 2 and all(abs(r["t"] - r["k"]) <= 15 for r in per)
+    once = lambda: sorted((tuple(r) for r in mixing.mix(docs).collect()), key=repr)
+    assert once() == once()
+
+
+def test_extra_columns_of_labels(spark, odd):
+    """Columns of the labels that clash with others are ignored; null and repeated label rows do no harm."""
+    rows = [(1, 1, "x", 0.5, 3, 1, 0), (2, 0, "y", 0.1, 4, 0, 1), (2, 0, "y", 0.1, 4, 0, 1), (3, None, None, None, None, None, None), (None, 1, "z", 0.0, 0, 0, 0), (77, 1, "gone", 0.0, 0, 0, 0)]
+    marks = spark.createDataFrame(rows, "doc_id long, quality int, text string, score double, turn int, y int, toxic int")
+    assert quality.score(odd, marks).count() == len(ODD) and quality.keep_good(odd, marks).columns == odd.columns

@@ -98,7 +98,8 @@ def _copies_by_brute_force(rows):
     for s in sources:
         times = int(target[s] // total[s]) if total[s] else 0
         rest, used = target[s] - times * total[s], 0
-        hashed = sorted((int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16), d, size(t)) for d, t, x in rows if x == s)
+        md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+        hashed = sorted((int(md5(f"{d}:{md5(t or '')}")[:15], 16), d, size(t)) for d, t, x in rows if x == s)
         for _, d, n in hashed:
             extra = used + n <= rest or (used <= rest and 2 * (rest - used) >= n)
             used += n
