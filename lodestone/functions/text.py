@@ -152,10 +152,11 @@ def quoted(text: str) -> str:
 
 
 def overlapping_starts(line: Column, literal: str) -> Column:
-    """1-based code-point positions of a literal in a line, overlapping ones too."""
-    m = len(literal)
-    places = F.sequence(F.lit(1), F.greatest(F.length(line) - m + 1, F.lit(1)))
-    return F.filter(places, lambda i: F.substr(line, i, F.lit(m)) == literal)
+    """1-based code-point positions of a literal in a line, overlapping ones too: the line is cut before each of them, and
+    the pieces' lengths are added up."""
+    pieces = F.split(line, f"(?={quoted(literal)})", -1)
+    at = F.transform(pieces, lambda x, i: F.struct(((i > 0) | line.startswith(literal)).alias("here"), (1 + F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p))).alias("at")))
+    return F.transform(F.filter(at, lambda x: x["here"]), lambda x: x["at"])
 
 
 def byte_offset(line: Column, position: Column) -> Column:

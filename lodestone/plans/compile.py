@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.regex import to_java
-from ..functions.text import fold, lines, overlapping_starts, quoted
+from ..functions.text import fold, lines, quoted
 from .query import And, LanguageFilter, Literal, Not, Or, PathFilter, Regex
 
 
@@ -45,7 +45,8 @@ def _leaf_ranges(tree, line: Column) -> Column:
         if not tree.text:
             return F.lit(0)
         if tree.case:
-            return F.when(line.contains(tree.text), F.size(overlapping_starts(line, tree.text))).otherwise(0)
+            # A look-ahead matches at every start, overlapping ones too, in one pass over the line.
+            return F.when(line.contains(tree.text), F.regexp_count(line, F.lit(f"(?={quoted(tree.text)})"))).otherwise(0)
         return F.when(fold(line).contains(_folded(tree.text)), F.regexp_count(fold(line), F.lit(quoted(_folded(tree.text))))).otherwise(0)
     return F.regexp_count(line, F.lit(to_java(tree.pattern)))
 
