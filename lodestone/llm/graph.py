@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from .common import materialize, spread_join
 
 MAX_ROUNDS = 60
-#: Up to this many edges a hub's rows may meet in one task.
-PLAIN = 500_000
+#: Up to this many edges the smallest neighbours of all nodes are below 8 MB, and are broadcast.
+FEW_EDGES = 160_000
 
 
 def _with_low(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
     """edges joined with (u, m, n) on u, where n is how often u stands there."""
-    if n_edges <= PLAIN:
-        return edges.join(low, "u")
+    if n_edges <= FEW_EDGES:
+        return edges.join(F.broadcast(low), "u")
     return spread_join(edges, materialize(low, "edge-lows"), "u", "n")
 
 
@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not before[0]:
             break
         edges = _large_star(edges, before[0])
-        if before[0] > PLAIN:
+        if before[0] > FEW_EDGES:
             edges = materialize(edges, "edges")
         edges = materialize(_small_star(edges, before[0]), "edges")
         now = _state(edges)
