@@ -27,8 +27,6 @@ from .tokens import cached, tokenizer_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-#: Pre-tokens a worker keeps: this file's pieces are fewer than with spaces, and idle workers keep theirs for a while.
-KEPT = 400_000
 #: Ids in a word and bits of each, by selector. Selectors 0 and 1 are runs of zeros.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -103,7 +101,6 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
         from pyspark import TaskContext
 
         tokenizer, part, end = cached(path), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
-        tokenizer.ids.entries = KEPT
         block, first, doc_ids, chunks, n_held = 0, 0, [], [], 0
 
         def close() -> pd.DataFrame:

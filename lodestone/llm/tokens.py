@@ -58,7 +58,7 @@ def _beyond(folds: bool):
 
 
 #: Entries of a worker's cache, of about 200 bytes each, and the longest pre-token that is kept in any table.
-CACHE_ENTRIES, LONGEST = 400_000, 64
+CACHE_ENTRIES, LONGEST = 800_000, 64
 
 
 def tokenizer_path(name: str) -> str:
