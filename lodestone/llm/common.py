@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -145,13 +144,25 @@ def tidy(f):
         try:
             yield from f(batches)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             _trim()(0)
 
     return run
 
 
+def id_columns(name: str) -> list[Column]:
+    """An id for Python workers, as (name, name_null): pandas would make inexact floats of a column with nulls."""
+    value = F.col(name).cast("long")
+    return [F.coalesce(value, F.lit(0).cast("long")).alias(name), value.isNull().alias(f"{name}_null")]
+
+
+def ids_of(batch, name: str):
+    """The ids of a batch as a nullable array."""
+    import pandas as pd
+
+    return pd.arrays.IntegerArray(batch[name].to_numpy(np.int64).copy(), batch[f"{name}_null"].to_numpy(bool).copy())
+
+
 def words_of(text: str) -> list[bytes]:
     """The runs of characters other than space and U+0009 to U+000D, as UTF-8. bytes.split() cuts at just these."""
     return text.encode("utf-8", "surrogatepass").split()

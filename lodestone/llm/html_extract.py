@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_shuffled, splitmix, spread_join
+from .common import id_columns, ids_of, materialize, small_or_shuffled, splitmix, spread_join
 
 RUN, PAGES, SHARD = 8, 3, 512
 
@@ -385,13 +385,13 @@ def extract(pages: DataFrame) -> DataFrame:
             own = [_own(b) for _, b in parsed]
             yield pd.DataFrame(
                 {
-                    "page_id": pd.array(batch["page_id"], dtype="Int64"), "url": batch["url"], "key": [_stream(host, *p)[0] for host, p in zip(batch["host"], parsed, strict=True)],
+                    "page_id": ids_of(batch, "page_id"), "url": batch["url"], "key": [_stream(host, *p)[0] for host, p in zip(batch["host"], parsed, strict=True)],
                     "has_main": [h for h, _ in parsed], "own": [o for o, _ in own], "parts": [None if p is None else [{"t": t, "s": s} for t, s in p] for _, p in own],
                 }
             )
 
     found = materialize(boilerplate(pages), "page-runs")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _host(F.col("url")).alias("host"), "html")
+    keyed = pages.select(*id_columns("page_id"), "url", _host(F.col("url")).alias("host"), "html")
     rows = keyed.mapInPandas(main_text, "page_id long, url string, key long, has_main boolean, own string, parts array<struct<t:string,s:int>>")
     rows = spread_join(rows, found, "key", "copies", "left", F.octet_length(F.coalesce("kept", F.lit(""))) + 48)
     kept = F.coalesce("kept", F.lit(""))

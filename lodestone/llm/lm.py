@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, lower_words, materialize, small_batches
+from .common import crc_remainder, id_columns, ids_of, lower_words, materialize, small_batches
 
 END = b"\n"
 #: Words whose counts are broadcast; places of neighbours; distances of the skips; distances of the forks' features.
@@ -170,9 +170,9 @@ def looked_up(rows: DataFrame, words: Shared) -> DataFrame:
         table = words.get()
         for batch in batches:
             found = [table.codes(tokens_of(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": pd.array(batch["doc_id"], dtype="Int64"), "held_out": batch["held_out"].to_numpy(), "turn": batch["turn"].to_numpy(), "codes": [c.astype("<i4").tobytes() for c, _ in found], "rare": [r for _, r in found]})
+            yield pd.DataFrame({"doc_id": ids_of(batch, "doc_id"), "held_out": batch["held_out"].to_numpy(), "turn": batch["turn"].to_numpy(), "codes": [c.astype("<i4").tobytes() for c, _ in found], "rare": [r for _, r in found]})
 
-    turned = rows.withColumn("turn", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")).select("doc_id", "held_out", "turn", "text")
+    turned = rows.withColumn("turn", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int")).select(*id_columns("doc_id"), "held_out", "turn", "text")
     out = turned.mapInPandas(look, "doc_id long, held_out boolean, turn int, codes binary, rare array<binary>")
     return materialize(out.withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
 
@@ -487,12 +487,12 @@ def score(docs: DataFrame) -> DataFrame:
                     {
                         "row": part["row"], "n_tokens": lengths, "n_frequent": np.add.reduceat((places >= 0).astype(np.int64), starts),
                         "log_counts": np.add.reduceat(np.where(places >= 0, log_c[np.maximum(places, 0)], 0.0), starts), "log_model": np.add.reduceat(log_p, starts),
-                        "doc_id": pd.array(part["doc_id"], dtype="Int64"), "held_out": part["held_out"],
+                        "doc_id": ids_of(part, "doc_id"), "held_out": part["held_out"],
                     }
                 )
 
     schema = "row long, n_tokens long, n_frequent long, log_counts double, log_model double, doc_id long, held_out boolean"
-    scored = tokens.select("row", "doc_id", "held_out", "codes").mapInPandas(apply, schema)
+    scored = tokens.select("row", *id_columns("doc_id"), "held_out", "codes").mapInPandas(apply, schema)
     pairs = tokens.select("row", F.explode("rare").alias("word"))
     found = pairs.join(counts, "word").groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"))
     out = scored.join(found, "row", "left")

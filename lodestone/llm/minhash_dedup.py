@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, materialize, small_batches, small_or_shuffled, splitmix, spread_join, tidy
+from .common import id_columns, ids_of, lower_words, materialize, small_batches, small_or_shuffled, splitmix, spread_join, tidy
 from .graph import connected_components
 
 SHINGLE, ROWS = 5, 4
@@ -163,11 +163,11 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 sig = signature(elements, n_bands)
                 rows.append((len(elements), *set_key(elements), band_keys(sig) if len(elements) else np.zeros(0, np.int64), coordinate_bytes(sig)))
             out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "marks"])
-            out.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
+            out.insert(0, "doc_id", ids_of(batch, "doc_id"))
             out.insert(1, "fp", batch["fp"].to_numpy())
             yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+    rows = docs.select(*id_columns("doc_id"), F.xxhash64("text").alias("fp"), "text")
     return rows.mapInPandas(tidy(sketch), "doc_id long, fp long, n_shingles long, k1 long, k2 long, bands array<long>, marks array<long>")
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import id_columns, small_batches, tidy
 from .tokens import cached, tokenizer_path
 
 CAPACITY, END_ID = 2048, 1
@@ -165,16 +165,15 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
                 sequence += 1
 
         def frame() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
+            out = pd.DataFrame([r[1:] for r in rows], columns=["start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
             rows.clear()
             return out
 
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                    doc_id = None if pd.isna(doc_id) else int(doc_id)
+                for doc_id, text in zip([None if n else d for d, n in zip(part["doc_id"].tolist(), part["doc_id_null"].tolist(), strict=True)], part["text"], strict=True):
                     data = tokenizer.encode(text or "") + end
                     total, at = len(data) // 4, 0
                     while total - at >= capacity:
@@ -195,7 +194,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         if rows:
             yield frame()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(pack), SCHEMA)
+    return docs.select(*id_columns("doc_id"), "text").mapInPandas(tidy(pack), SCHEMA)
 
 
 def packed_digest(packed: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import id_columns, ids_of, small_batches
 from .tokens import LONGEST, Tier, cached, tokenizer_path
 
 #: Bounds: entries of the broadcast table, and of one task's summary.
@@ -77,8 +77,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         tiers = Tier(table.value, tokenizer.lengths)
         for batch in batches:
             totals = [tokenizer.count(text, tiers) if text else 0 for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": pd.array(batch["doc_id"], dtype="Int64"), "n_bytes": batch["n_bytes"].to_numpy(), "n_tokens": totals})
+            yield pd.DataFrame({"doc_id": ids_of(batch, "doc_id"), "n_bytes": batch["n_bytes"].to_numpy(), "n_tokens": totals})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    rows = docs.select(*id_columns("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     counted = rows.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

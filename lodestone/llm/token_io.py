@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy, work_path
+from .common import id_columns, small_batches, tidy, work_path
 from .tokens import cached, tokenizer_path
 
 END_ID = 2
@@ -59,8 +59,8 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         best[fits] = s
     jump = np.array(COUNTS)[best].tolist()
     starts, i = [], 0
-    add = starts.append
-    while i < n:
+    add, stop = starts.append, n
+    while i < stop:
         add(i)
         i += jump[i]
     starts_a = np.array(starts, np.int64)
@@ -115,8 +115,8 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+            for doc_id, null, text in zip(batch["doc_id"].tolist(), batch["doc_id_null"].tolist(), batch["text"], strict=True):
+                doc_ids.append(None if null else doc_id)
                 chunks.append(np.frombuffer(tokenizer.encode(text or "") + end, "<u4"))
                 n_held += len(chunks[-1])
                 if n_held >= BLOCK_IDS:
@@ -127,7 +127,7 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, end_id: int =
     # The place of a row in the input divides rows with one id, or none, over ranges.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
     by = [F.col("doc_id").asc_nulls_first(), "place"]
-    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(*id_columns("doc_id"), "text")
     ordered.mapInPandas(tidy(encode), BLOCK_SCHEMA).write.parquet(out)
 
 

@@ -329,3 +329,14 @@ def test_extra_columns_of_labels(spark, odd):
     rows = [(1, 1, "x", 0.5, 3, 1, 0), (2, 0, "y", 0.1, 4, 0, 1), (2, 0, "y", 0.1, 4, 0, 1), (3, None, None, None, None, None, None), (None, 1, "z", 0.0, 0, 0, 0), (77, 1, "gone", 0.0, 0, 0, 0)]
     marks = spark.createDataFrame(rows, "doc_id long, quality int, text string, score double, turn int, y int, toxic int")
     assert quality.score(odd, marks).count() == len(ODD) and quality.keep_good(odd, marks).columns == odd.columns
+
+
+def test_ids_beyond_2_to_53(spark):
+    """Ids of any size stay exact in batches that hold a null id."""
+    big = [2**53 + 1, 2**62 + 3, -(2**61) - 1, None]
+    docs = spark.createDataFrame([(d, f"text number {k} of these", "s") for k, d in enumerate(big)], "doc_id long, text string, source string").coalesce(1)
+    ids = lambda frame, name="doc_id": {r[name] for r in frame.collect()}
+    for f in (packing.pack_documents, token_counts.count_tokens, token_io.round_trip, lm.score, minhash_dedup.find_near_copies, mixing.mix, exact_dedup.find_copies):
+        assert ids(f(docs)) == set(big), f
+    pages = spark.createDataFrame([(d, "http://x/", f"<p>{k}</p>") for k, d in enumerate(big)], "page_id long, url string, html string").coalesce(1)
+    assert ids(html_extract.extract(pages), "page_id") == set(big)
