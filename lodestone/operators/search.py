@@ -180,7 +180,6 @@ def blocks_of(hits: Column, content: Column, context: int) -> Column:
     """array<array<struct<line_number, content, is_match>>>: lines around matching lines (numbers in order).  Matches whose
     context touches share a block (gap of at most 2 * context + 1 lines).  All of a file is in one row: no shuffle."""
     context = min(context, MAX_CONTEXT)
-    numbered = F.transform(lines(content), lambda x, i: F.struct((i + 1).cast("int").alias("line_number"), x.alias("content"), F.array_contains(hits, (i + 1).cast("int")).alias("is_match")))
     start = F.struct(F.array().cast("array<struct<lo:int,hi:int>>").alias("done"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
     closed = lambda s: F.when(s["lo"].isNull(), s["done"]).otherwise(F.array_append(s["done"], F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))
 
@@ -188,11 +187,13 @@ def blocks_of(hits: Column, content: Column, context: int) -> Column:
         joined = s["hi"].isNotNull() & (at - s["hi"] <= 2 * context + 1)
         return F.struct(F.when(joined, s["done"]).otherwise(closed(s)).alias("done"), F.when(joined, s["lo"]).otherwise(at).alias("lo"), at.alias("hi"))
 
-    ranges = F.aggregate(F.transform(hits, lambda x: x.cast("int")), start, step, closed)
-    first = lambda r: F.greatest(r["lo"] - context, F.lit(1))
-    # Bound as a lambda's variable the lines are made once for all blocks.
-    cut = lambda every: F.transform(ranges, lambda r: F.slice(every, first(r), r["hi"] + context - first(r) + 1))
-    return F.flatten(F.transform(F.array(numbered), cut))
+    def block(v, r):
+        first = F.greatest(r["lo"] - context, F.lit(1))
+        return F.transform(F.slice(v["all"], first, r["hi"] + context - first + 1), lambda x, i: F.struct((first + i).cast("int").alias("line_number"), x.alias("content"), F.array_contains(v["hits"], (first + i).cast("int")).alias("is_match")))
+
+    # Bound as a lambda's variable, lines and matches are made once for all blocks; only lines in blocks are looked at.
+    whole = F.array(F.struct(lines(content).alias("all"), F.transform(hits, lambda x: x.cast("int")).alias("hits")))
+    return F.flatten(F.transform(whole, lambda v: F.transform(F.aggregate(v["hits"], start, step, closed), lambda r: block(v, r))))
 
 
 def with_context(results: DataFrame, files: DataFrame | None = None, context: int = 0) -> DataFrame:
