@@ -286,12 +286,18 @@ class Model:
         out[:, SKIPS] = 1 + SKIPS * n + ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % self.sizes.pairs
         return out
 
+    def odds(self, rows: np.ndarray) -> np.ndarray:
+        """Natural log of P(class | history), but for a number for each row, len(rows) x classes; 0 at most."""
+        z = self.w.take(rows[:, 0], axis=0)
+        z += self.w[0]
+        for f in range(1, rows.shape[1]):
+            z += self.w.take(rows[:, f], axis=0)
+        z -= z.max(axis=1, keepdims=True)
+        return z
+
     def log_classes(self, rows: np.ndarray) -> np.ndarray:
         """Natural log of P(class | history), len(rows) x classes."""
-        z = np.broadcast_to(self.w[0], (len(rows), self.sizes.classes)).copy()
-        for f in range(rows.shape[1]):
-            z += self.w[rows[:, f]]
-        z -= z.max(axis=1, keepdims=True)
+        z = self.odds(rows)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
@@ -306,15 +312,18 @@ class Model:
         """Natural log of P(unit | class, history) of the tokens at `at`."""
         token, places, right = self.forks(u, at)
         flat = self.f.reshape(-1)
-        z = flat[places[0]] + flat[places[1]] + flat[places[2]]
-        return -np.bincount(token, np.logaddexp(0, np.where(right, -z, z)), len(at)).astype(float)
+        z = flat.take(places[0]) + flat.take(places[1]) + flat.take(places[2])
+        z = np.where(right, -z, z)
+        return -np.bincount(token, np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z))), len(at)).astype(float)
 
     def log_model(self, u: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log of P(unit | history)."""
         out = self.log_units(u, at)
         for a in range(0, len(at), BATCH):
             here = at[a : a + BATCH]
-            out[a : a + BATCH] += self.log_classes(self.features(u, here))[np.arange(len(here)), self.of_unit[u[here]]]
+            z = self.odds(self.features(u, here))
+            own = z[np.arange(len(here)), self.of_unit[u[here]]]
+            out[a : a + BATCH] += own - np.log(np.exp(z, out=z).sum(axis=1))
         return out
 
 
@@ -330,7 +339,9 @@ class Trainer:
     def step(self, rows: np.ndarray, target: np.ndarray) -> None:
         """One on the classes' softmax."""
         w = self.m.w
-        g = np.exp(self.m.log_classes(rows))
+        g = self.m.odds(rows)
+        np.exp(g, out=g)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(g)), target] -= 1
         g /= len(g)
         used, sums = [np.zeros(1, np.int64)], [g.sum(axis=0, keepdims=True)]
@@ -340,7 +351,7 @@ class Trainer:
             at = rows[order, f]
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             used.append(at[first])
-            sums.append(np.add.reduceat(g[order], first, axis=0))
+            sums.append(np.add.reduceat(g.take(order, axis=0), first, axis=0))
         used, d = np.concatenate(used), np.concatenate(sums)  # families of features have rows of their own
         self.touched += np.bincount(rows.ravel(), minlength=len(w))
         self.touched[0] += len(rows)
@@ -354,8 +365,8 @@ class Trainer:
         if not n:
             return
         _, places, right = self.m.forks(u, at)
-        z = flat[places[0]] + flat[places[1]] + flat[places[2]]
-        g = 1 / (1 + np.exp(-z)) - right
+        z = flat.take(places[0]) + flat.take(places[1]) + flat.take(places[2])
+        g = (1 / (1 + np.exp(-z)) - right).astype(float)
         d = np.bincount(places[0], g, len(flat))
         for p in places[1:]:
             d += np.bincount(p, g, len(flat))

@@ -155,3 +155,21 @@ def test_held_out_texts_are_likelier_than_by_the_base(spark, sf, gain):
     held = lm.score(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     print(held[0] / held[2], held[1] / held[2])
     assert (held[0] - held[1]) / held[2] > gain
+
+
+def test_log_probabilities_without_a_table_of_all_classes():
+    """log_model equals the classes' whole softmax plus each way down the tree; `odds` is that softmax but for its sum."""
+    rng, sizes = np.random.default_rng(5), lm.Sizes(0)
+    model = lm.Model(sizes, rng.integers(0, sizes.classes, sizes.units).astype(np.int32), rng.integers(1, 90, sizes.units))
+    model.w += rng.normal(size=model.w.shape).astype(np.float32)
+    model.f += rng.normal(size=model.f.shape).astype(np.float32) * 9
+    u = rng.integers(0, sizes.begin, 300).astype(np.int32)
+    at = np.arange(lm.SKIPS, len(u))
+    rows = model.features(u, at)
+    z = model.w[0].astype(float) + model.w[rows].astype(float).sum(axis=1)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.allclose(model.log_classes(rows), z, atol=1e-4) and model.odds(rows).max() == 0
+    token, places, right = model.forks(u, at)
+    way = sum(model.f.reshape(-1)[p].astype(float) for p in places)
+    expected = z[np.arange(len(at)), model.of_unit[u[at]]] - np.bincount(token, np.logaddexp(0, np.where(right, -way, way)), len(at))
+    assert np.allclose(model.log_model(u, at), expected, atol=1e-3)
